@@ -7,19 +7,67 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, html_extract, license_scan, lm, pii, quality, toxicity, warc
 from .common import table
 
 #: where the public vocabulary files lie; the driver reads them and broadcasts what they hold
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licenses(table(spark, sf_dir, "documents")).drop("notices")
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
+    "op5_lm_score": op5_lm_score,
+    "op6_warc": op6_warc,
+    "op7_quality": op7_quality,
+    "op8_license": op8_license,
+    "op10_html": op10_html,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL for the same rows
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), f as (
+  select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest having count(*) > 1
+)
+select p.page_id, p.payload_bytes, p.payload_digest,
+  case when f.first is not null and p.page_id is distinct from f.first then 'revisit' else 'response' end as record_type,
+  case when p.page_id is distinct from f.first then f.first end as refers_to
+from p left join f using (payload_digest)
+""",
+}
