@@ -2,17 +2,17 @@
 
 States are the start of the text, every core word and the root. An arc of a core state is a kept bigram with
 its smoothed weight; where a state has no arc for the next word, its failure arc (the backoff weight) leads to
-the root, whose arcs are the kept words. A word without an arc there takes the root's failure arc into a
-second automaton, which spells it byte by byte (4-grams of bytes, Witten-Bell weights, failure arcs to
-shorter contexts). One left-to-right traversal carries the state and sums the log-probabilities.
+the root, whose arcs are all the words of the training texts (absolute discounting). The discounted mass is
+spread evenly over the words that no training text has; their number is estimated from how many words were
+seen once and twice (Chao1). One left-to-right traversal carries the state and sums the log-probabilities.
 
 What is counted: all words and all bigrams of core words of all training texts. What is broadcast has a proven
 size, as every kept item has at least a fixed relative frequency: ``KEPT`` allows 1/KEPT words, ``CORE``
-1/CORE core words, ``PAIRS`` 1/PAIRS bigrams, ``SPELLED`` 1/SPELLED byte 4-grams. The counts of all other
-words (which the base score needs) are joined, not broadcast.
+1/CORE core words, ``PAIRS`` 1/PAIRS bigrams. The arcs of all rarer words are looked up by a join: a traversal
+leaves their weights open, with how often each word stands in the text, and the join adds them.
 
-Null texts are empty (one token, the end). Null ids are training rows unless crc32('') says otherwise.
-Repeated rows are counted and scored each.
+Null texts are empty (one token, the end). The id of a null counts as the empty text in the split. Repeated
+rows are counted and scored each. Without training texts every word is unseen.
 """
 
 from __future__ import annotations
@@ -28,12 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import bucket, discard, map_columns, saved
 
-KEPT, CORE, PAIRS, SPELLED = 5e-7, 1e-4, 1e-6, 1e-6
+KEPT, CORE, PAIRS = 5e-7, 1e-4, 1e-6
+#: discount of bigrams, and of words where the counts give none
 DISCOUNT = 0.6
 #: distinct words that a task gathers before it hands them on
 GATHERED = 400_000
-_START = 0  # id of the start of a text among histories; the end is the word of id 0
-_ORDER = 4
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -92,94 +91,21 @@ def _pair_counts(texts: DataFrame, core, text: str) -> DataFrame:
     return _batches(texts, [text], "pair long, n long", work).groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def _gram_counts(counts: DataFrame) -> DataFrame:
-    """(gram, n): byte 4-grams of all distinct words, which are padded in front and ended."""
-
-    def work(batches):
-        for (words,) in batches:
-            raw = b"".join(b"   " + w + b"\n" for w in words)
-            a = np.frombuffer(raw, dtype=np.uint8).astype(np.int64)
-            if len(a) < _ORDER:
-                continue
-            g = a[:-3] << 24 | a[1:-2] << 16 | a[2:-1] << 8 | a[3:]
-            g = g[(a[3:] != 32) & (a[:-3] != 10) & (a[1:-2] != 10) & (a[2:-1] != 10)]
-            key, n = np.unique(g, return_counts=True)
-            yield key, n
-
-    return _batches(counts, ["word"], "gram long, n long", work).groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-class Speller:
-    """Backoff automaton over bytes: ``arcs[state][byte] = (weight, next state)``, ``fail[state] = (weight, state)``."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        by: list[dict[bytes, Counter]] = [{} for _ in range(_ORDER)]
-        for g, n in zip(grams.tolist(), counts.tolist()):
-            raw = g.to_bytes(4, "big")
-            for k in range(_ORDER):
-                by[k].setdefault(raw[3 - k : 3], Counter())[raw[3]] += n
-        self.arcs: list[dict[int, tuple[float, int]]] = []
-        self.fail: list[tuple[float, int]] = []
-        state = {b"": 0}
-        for k in range(_ORDER):
-            for context in by[k]:
-                state.setdefault(context, len(state))
-        self.arcs = [{} for _ in state]
-        self.fail = [(0.0, -1)] * len(state)
-        p: dict[bytes, dict[int, float]] = {}
-        floor = 1 / 256
-        for k in range(_ORDER):
-            for context, seen in by[k].items():
-                total, kinds = sum(seen.values()), len(seen)
-                lower = p.get(context[1:]) if k else None
-                p[context] = {
-                    s: (n + kinds * (lower.get(s, 0.0) if lower else floor)) / (total + kinds) for s, n in seen.items()
-                }
-                at = state[context]
-                self.fail[at] = (math.log10(kinds / (total + kinds)), state[context[1:]] if k else -1)
-                for s, q in p[context].items():
-                    after = (context + bytes([s]))[-3:]
-                    while after not in state:
-                        after = after[1:]
-                    self.arcs[at][s] = (math.log10(q), state[after])
-        begin = b"   "
-        while begin not in state:
-            begin = begin[1:]
-        self.begin, self.floor = state[begin], math.log10(floor)
-
-    def __call__(self, word: bytes) -> float:
-        at, sum_ = self.begin, 0.0
-        arcs, fail = self.arcs, self.fail
-        for s in (*word, 10):
-            while True:
-                arc = arcs[at].get(s)
-                if arc:
-                    sum_ += arc[0]
-                    at = arc[1]
-                    break
-                w, lower = fail[at]
-                sum_ += w
-                if lower < 0:
-                    sum_ += self.floor
-                    at = 0
-                    break
-                at = lower
-        return sum_
-
-
 class Automaton:
-    """Arrays of the word automaton; ``words[0]`` is the end of the text."""
+    """Arrays of the word automaton; ``words[0]`` is the end of the text, and its start among histories."""
 
-    def __init__(self, words, counts, total, kinds, n_core, pairs, pair_counts, speller):
-        self.words, self.n_core, self.speller = words, n_core, speller
+    def __init__(self, words, counts, total, kinds, once, twice, n_core, pairs, pair_counts):
+        self.words, self.n_core = words, n_core
         self.total, self.kinds = total, kinds
+        self.discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once and twice else DISCOUNT
         c = np.asarray(counts, dtype=np.float64)
         self.base = np.log10(c + 1)
         self.denominator = math.log10(total + kinds + 1)
-        kept = np.maximum(c - DISCOUNT, 1e-3) / max(total, 1)
-        rest = max(1 - kept.sum(), 1e-9)
+        self.log_total = math.log10(max(total, 1))
+        unseen_kinds = max(1.0, once * once / (2 * twice) if twice else once * (once - 1) / 2)
+        self.unseen = math.log10(max(self.discount * kinds, 1) / max(total, 1) / unseen_kinds)
+        kept = np.maximum(c - self.discount, 1e-3) / max(total, 1)
         self.one = np.log10(kept)
-        self.unknown = math.log10(rest)
         m = n_core
         order = np.argsort(pairs)
         self.pairs = np.asarray(pairs, dtype=np.int64)[order]
@@ -194,18 +120,9 @@ class Automaton:
 
     def start(self) -> None:
         self.ids = {w: i for i, w in enumerate(self.words) if i}
-        self.spelled: dict[bytes, float] = {}
-
-    def spell(self, word: bytes) -> float:
-        got = self.spelled.get(word)
-        if got is None:
-            if len(self.spelled) > 300_000:
-                self.spelled.clear()
-            got = self.spelled[word] = self.speller(word)
-        return got
 
     def score(self, words: list[bytes]):
-        """(log10 probability, sum of log10(c+1) of kept tokens, number of kept tokens, rare words with counts)."""
+        """(log10 probability without the arcs of rare words, sum of log10(c+1) of kept tokens, their number, rare words)."""
         get = self.ids.get
         a = np.array([0, *[get(w, -1) for w in words], 0], dtype=np.int64)
         now, before = a[1:], a[:-1]
@@ -222,7 +139,6 @@ class Automaton:
         failed = ~direct & (state >= 0)
         total = self.two[arc[direct]].sum() + self.back[state[failed]].sum() + self.one[now[~direct & kept]].sum()
         rare = Counter(words[i] for i in np.flatnonzero(~kept).tolist())
-        total += sum(n * (self.unknown + self.spell(w)) for w, n in rare.items())
         return float(total), float(self.base[now[kept]].sum()), int(kept.sum()), rare
 
 
@@ -230,7 +146,9 @@ def train(texts: DataFrame, text: str = "text") -> tuple[Automaton, DataFrame]:
     """The automaton, and the saved table (word, n) of all words."""
     counts = saved(word_counts(texts, text), "words")
     n_texts = texts.count()
-    n_words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    n_words, kinds, once, twice = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+    ).first()
     total, kinds = n_words + n_texts, kinds + (n_texts > 0)
     # every kept word has at least KEPT * total occurrences: 1/KEPT rows at most
     kept = counts.where(F.col("n") >= KEPT * total).toArrow().to_pydict()
@@ -241,11 +159,7 @@ def train(texts: DataFrame, text: str = "text") -> tuple[Automaton, DataFrame]:
     sc = texts.sparkSession.sparkContext
     floor = max(2, PAIRS * total)
     pairs = _pair_counts(texts, sc.broadcast(core), text).where(F.col("n") >= floor).toArrow().to_pydict()
-    grams = _gram_counts(counts)
-    all_grams = counts.agg(F.coalesce(F.sum(F.length("word") + 1), F.lit(0))).first()[0]
-    grams = grams.where(F.col("n") >= SPELLED * all_grams).toArrow().to_pydict()
-    speller = Speller(np.array(grams["gram"], dtype=np.int64), np.array(grams["n"], dtype=np.int64))
-    return Automaton(words, n, total, kinds, len(core) + 1, pairs["pair"], pairs["n"], speller), counts
+    return Automaton(words, n, total, kinds, once, twice, len(core) + 1, pairs["pair"], pairs["n"]), counts
 
 
 def score(df: DataFrame, model: Automaton, counts: DataFrame, doc_id="doc_id", text="text", folds=7, held=2) -> DataFrame:
@@ -281,17 +195,23 @@ def score(df: DataFrame, model: Automaton, counts: DataFrame, doc_id="doc_id", t
     known = (
         rare.join(counts.where(F.col("n") < KEPT * model.total), "word")
         .groupBy("row")
-        .agg(F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more"), F.sum("k").alias("found"))
+        .agg(
+            F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more"),
+            F.sum(F.col("k") * (F.log10(F.col("n") - model.discount) - model.log_total)).alias("arcs"),
+            F.sum("k").alias("found"),
+        )
     )
     zero = F.lit(0)
+    found = F.coalesce("found", zero)
+    unseen = F.col("n_tokens") - F.col("kept") - found
     return scored.drop("rare").join(known, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        ((F.col("kept") - (0 if model.kinds else 1)) + F.coalesce("found", zero)).cast("long").alias("n_known"),
+        ((F.col("kept") - (0 if model.kinds else 1)) + found).cast("long").alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", zero.cast("double")) - F.col("n_tokens") * F.lit(model.denominator)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("arcs", zero.cast("double")) + unseen * F.lit(model.unseen)).alias("score"),
     )
 
 

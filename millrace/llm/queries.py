@@ -7,13 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, license_scan, lm, pii, quality, toxicity, warc
+from . import bpe, decontam, html_extract, license_scan, lm, pii, quality, toxicity, warc
 from .common import table
 
 #: where the public vocabulary files lie; the driver reads them and broadcasts what they hold
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -47,6 +51,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL for the same rows
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": decontam.SQL,
     "op6_warc": """
 with p as (
   select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages

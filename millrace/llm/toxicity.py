@@ -61,7 +61,7 @@ class Model:
         return out
 
 
-def ftrl(rows, labels, *, alpha=0.1, beta=1.0, l1=1.0, l2=1.0, epochs=4, seed=7) -> Model:
+def ftrl(rows, labels, *, alpha=1.0, beta=1.0, l1=6.0, l2=0.1, epochs=6, seed=7) -> Model:
     """``rows`` are arrays of feature numbers (each feature counts once), ``labels`` are 0 or 1."""
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)  # the last one is the bias, without L1
