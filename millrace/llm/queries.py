@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html_extract, license_scan, lm, pii, quality, toxicity, warc
+from . import bpe, decontam, html_extract, license_scan, lm, neardup, pii, quality, toxicity, warc
 from .common import table
 
 #: where the public vocabulary files lie; the driver reads them and broadcasts what they hold
@@ -46,6 +46,10 @@ def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.find_licenses(table(spark, sf_dir, "documents")).drop("notices")
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.judged(table(spark, sf_dir, "documents"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_quality": op7_quality,
     "op8_license": op8_license,
+    "op9_near_dup": op9_near_dup,
     "op10_html": op10_html,
 }
 
@@ -75,5 +80,27 @@ select p.page_id, p.payload_bytes, p.payload_digest,
   case when f.first is not null and p.page_id is distinct from f.first then 'revisit' else 'response' end as record_type,
   case when p.page_id is distinct from f.first then f.first end as refers_to
 from p left join f using (payload_digest)
+""",
+    "op9_near_dup": r"""
+with recursive d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select distinct doc_id, array_to_string(w[i : i + 2], ' ') as g from d, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) as t(i)
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all
+), links as (
+  select a, b from shared join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 85 * (na.n + nb.n - k)
+), reach as (
+  select doc_id as x, doc_id as y from documents
+  union
+  select r.x, case when l.a = r.y then l.b else l.a end from reach r join links l on l.a = r.y or l.b = r.y
+), c as (
+  select x, min(y) as component_id from reach group by x
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from d left join n using (doc_id) join c on c.x = d.doc_id
 """,
 }
