@@ -19,6 +19,7 @@ import unicodedata
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -216,15 +217,23 @@ def _model(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Bpe(path))
 
 
+def _lists(parts: list[bytes]) -> pa.Array:
+    offsets = np.zeros(len(parts) + 1, dtype=np.int32)
+    np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
+
+
+def _ids(model: Bpe, texts: list[str | None]) -> list[bytes]:
+    return [x for i in range(0, len(texts), 500) for x in model.encode_batch([t or "" for t in texts[i : i + 500]])]
+
+
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", output: str = "ids") -> DataFrame:
     """Adds ``output``, the ids of each whole text (array of int; null text: empty)."""
     shared = _model(df.sparkSession, tokenizer_path)
 
-    @F.pandas_udf("array<int>")
-    def ids(texts):
-        import pandas as pd
-
-        return pd.Series([np.frombuffer(x, dtype="<i4") for x in shared.value.encode_batch(texts.fillna("").tolist())])
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        return _lists(_ids(shared.value, texts.to_pylist()))
 
     return df.withColumn(output, ids(F.col(text)))
 
@@ -233,15 +242,27 @@ def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", output: str = "
     """Adds ``output``, the text of each list of ids (null: empty)."""
     shared = _model(df.sparkSession, tokenizer_path)
 
-    @F.pandas_udf("string")
-    def back(lists):
-        import pandas as pd
-
-        return pd.Series([shared.value.decode(np.asarray([] if x is None else x, dtype="<u4").tobytes()) for x in lists])
+    @F.arrow_udf("string")
+    def back(lists: pa.Array) -> pa.Array:
+        return pa.array([shared.value.decode(np.asarray(x or [], dtype="<u4").tobytes()) for x in lists.to_pylist()], type=pa.string())
 
     return df.withColumn(output, back(F.col(ids)))
 
 
+def tokenise(df: DataFrame, tokenizer_path: str, text: str = "text", output: str = "tokens") -> DataFrame:
+    """Adds ``output``, a struct of n_tokens, ids and decoded (the text that these ids give), in one pass."""
+    shared = _model(df.sparkSession, tokenizer_path)
+
+    @F.arrow_udf("struct<n_tokens:bigint,ids:array<int>,decoded:string>")
+    def both(texts: pa.Array) -> pa.Array:
+        ids = _ids(shared.value, texts.to_pylist())
+        n = pa.array([len(x) // 4 for x in ids], type=pa.int64())
+        decoded = pa.array(list(map(shared.value.decode, ids)), type=pa.string())
+        return pa.StructArray.from_arrays([n, _lists(ids), decoded], names=["n_tokens", "ids", "decoded"])
+
+    return df.withColumn(output, both(F.col(text)))
+
+
 def round_trip(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: number of tokens and digests of its ids and of the text decoded from them."""
     shared = _model(df.sparkSession, tokenizer_path)
@@ -252,7 +273,7 @@ def round_trip(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text:
         def work(keys, texts):
             n, of_ids, of_text = [], [], []
             for i in range(0, len(texts), 500):
-                for ids in model.encode_batch([t or "" for t in texts[i : i + 500]]):
+                for ids in _ids(model, texts[i : i + 500]):
                     n.append(len(ids) // 4)
                     of_ids.append(sha256(ids).hexdigest())
                     of_text.append(sha256(model.decode(ids).encode("utf-8")).hexdigest())

@@ -91,3 +91,20 @@ def map_columns(
 def bucket(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
+
+
+#: rows of keys that are broadcast at most
+BROADCAST_KEYS = 1_000_000
+
+
+def keyed(documents: DataFrame) -> DataFrame:
+    """(doc_id, th): what names a document whose id may be missing or repeated; th is a hash of its text."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
+
+
+def without(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents whose (doc_id, th) is not in ``keys``: a broadcast of checked size, else a shuffled join."""
+    keys = saved(keys.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "keys")
+    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    same = documents["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (F.xxhash64(documents["text"]) == keys["_th"])
+    return documents.join(F.broadcast(keys) if small else keys, same, "left_anti")

@@ -125,13 +125,16 @@ def prepared(benchmark: DataFrame) -> DataFrame:
     return saved(items.distinct().withColumn("item", F.monotonically_increasing_id()), "items")
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, th (hash of the text), n_words, n_hit, items, contaminated."""
+def contamination(documents: DataFrame, benchmark: DataFrame, how: str = "left") -> DataFrame:
+    """One row per document: doc_id, th (hash of the text), n_words, n_hit, items, contaminated.
+
+    With ``how="inner"`` only documents that a fingerprint hits (all others are not contaminated).
+    """
     docs = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), words("text").alias("words")
     )
     hits = matched(docs, prepared(benchmark)).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    both = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_id"]) & (docs["th"] == hits["_th"]), "left")
+    both = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_id"]) & (docs["th"] == hits["_th"]), how)
     out = _extended(both.select("doc_id", "th", "words", "hits"))
     n_words = F.size("words").cast("long")
     return out.select(

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved
+from .common import discard, saved, without
 
 BLOCK = 512
 BITS = 2048
@@ -347,10 +347,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """One row per document: doc_id, th (hash of the text), n_shingles, component_id, and ``first``.
-
-    ``first`` marks the one row of each group that stays (the smallest id; among equal ids the first row).
-    """
+    """One row per document: row, doc_id, th (hash of the text), n_shingles, component_id and group (null: no words)."""
     all_ = saved(sketches(documents, rule), "sketches")
     with_words = all_.where("n > 0")
     classes = saved(with_words.groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "classes")
@@ -404,3 +401,23 @@ def judged(documents: DataFrame, rule: Rule = Rule(size=3, percent=85)) -> DataF
     return groups(documents, rule).select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+def deduplicated(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """One document of each group, that of the smallest id; documents without words all stay."""
+    found = saved(groups(documents, rule), "groups").where(F.col("group").isNotNull())
+    stays = found.groupBy("group").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
+    first = found.join(stays.select("row"), "row", "left_semi")
+    gone = found.join(stays.select("row"), "row", "left_anti").select("doc_id", "th")
+    # rows repeated with their id: the key of the one that stays is no reason to drop it
+    same = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("th") == F.col("_th"))
+    names = first.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    kept = without(documents, gone.join(names, same, "left_anti"))
+    again = saved(found.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "again")
+    if not again.limit(1).count():
+        return kept
+    columns = kept.columns
+    kept = kept.withColumn("_h", F.xxhash64("text"))
+    same = (kept["doc_id"].cast("long").eqNullSafe(again["_id"])) & (kept["_h"] == again["_th"])
+    repeated = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_h"])
+    return kept.join(again, same, "left_anti").unionByName(repeated).select(*columns)
