@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which
 is written as Parquet and read again. Toxic documents go; one document of each group of near-duplicates (word
 5-grams, similarity of 0.8 or more) stays; contaminated documents go; personal data is replaced by its kind;
-the last stage encodes the texts and returns, beside the columns, n_tokens, ids and the text decoded from them.
+the last stage encodes the texts and returns, beside the columns, n_tokens, ids and the text decoded from them
+(columns of these names are replaced). Each stage is right for null ids and texts as its operator's module says;
+a null text is neither toxic nor contaminated nor anyone's copy.
 """
 
 from __future__ import annotations
@@ -13,13 +15,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontam, neardup, pii
 from millrace.llm import toxicity as tox
-from millrace.llm.common import saved, table, without
+from millrace.llm.common import saved, table, unused, without
 from millrace.llm.queries import TOKENIZERS
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = tox.fit(docs, table(spark, sf_dir, "labels"))
-    return tox.score(docs, model, output="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    name = unused(docs, "_toxicity")
+    return tox.score(docs, model, output=name).where(F.col(name) < 0.5).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +39,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = bpe.tokenise(docs, f"{TOKENIZERS}/byte_bpe_50k.json", output="_tokens")
-    return out.select(*(F.col(c) for c in docs.columns), "_tokens.n_tokens", "_tokens.ids", "_tokens.decoded")
+    name = unused(docs, "_tokens")
+    out = bpe.tokenise(docs, f"{TOKENIZERS}/byte_bpe_50k.json", output=name)
+    new = ("n_tokens", "ids", "decoded")
+    return out.select(*(c for c in docs.columns if c.lower() not in new), *(f"{name}.{c}" for c in new))
 
 
 STAGES = [

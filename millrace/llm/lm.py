@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import bucket, discard, map_columns, saved
 
-KEPT, CORE, PAIRS = 5e-7, 1e-4, 1e-6
+KEPT, CORE, PAIRS = 5e-7, 2e-5, 1e-6
 #: discount of bigrams, and of words where the counts give none
 DISCOUNT = 0.6
 #: distinct words that a task gathers before it hands them on

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, without
+from .common import discard, saved, unused, without
 
 BLOCK = 512
 BITS = 2048
@@ -417,7 +417,8 @@ def deduplicated(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     if not again.limit(1).count():
         return kept
     columns = kept.columns
-    kept = kept.withColumn("_h", F.xxhash64("text"))
-    same = (kept["doc_id"].cast("long").eqNullSafe(again["_id"])) & (kept["_h"] == again["_th"])
-    repeated = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_h"])
+    h = unused(kept, "_h")
+    kept = kept.withColumn(h, F.xxhash64("text"))
+    same = (kept["doc_id"].cast("long").eqNullSafe(again["_id"])) & (kept[h] == again["_th"])
+    repeated = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", h])
     return kept.join(again, same, "left_anti").unionByName(repeated).select(*columns)

@@ -123,7 +123,7 @@ def plan(texts: Sequence[str | None], rules: Sequence[Rule] = RULES) -> list[Rul
         for name, rejects in rules:
             doc = Doc(text)
             began = time.perf_counter()
-            out[name] += rejects(doc)
+            out[name] += bool(rejects(doc))
             cost[name] += time.perf_counter() - began
     return sorted(rules, key=lambda r: (-out[r[0]] / cost[r[0]], r[0]))
 
