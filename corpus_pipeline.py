@@ -39,10 +39,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    name = unused(docs, "_tokens")
-    out = bpe.tokenise(docs, f"{TOKENIZERS}/byte_bpe_50k.json", output=name)
-    new = ("n_tokens", "ids", "decoded")
-    return out.select(*(c for c in docs.columns if c.lower() not in new), *(f"{name}.{c}" for c in new))
+    return bpe.tokenise(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
 STAGES = [

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import map_columns, with_columns
 
 #: pieces that a worker remembers; beyond it the memory starts afresh (only speed depends on it)
 REMEMBERED = 400_000
@@ -223,44 +223,42 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
 
 
-def _ids(model: Bpe, texts: list[str | None]) -> list[bytes]:
-    return [x for i in range(0, len(texts), 500) for x in model.encode_batch([t or "" for t in texts[i : i + 500]])]
-
-
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", output: str = "ids") -> DataFrame:
     """Adds ``output``, the ids of each whole text (array of int; null text: empty)."""
     shared = _model(df.sparkSession, tokenizer_path)
 
-    @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        return _lists(_ids(shared.value, texts.to_pylist()))
+    def start():
+        return lambda texts: [_lists(shared.value.encode_batch([t or "" for t in texts]))]
 
-    return df.withColumn(output, ids(F.col(text)))
+    return with_columns(df, text, f"`{output}` array<int>", start)
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", output: str = "text") -> DataFrame:
     """Adds ``output``, the text of each list of ids (null: empty)."""
     shared = _model(df.sparkSession, tokenizer_path)
 
-    @F.arrow_udf("string")
-    def back(lists: pa.Array) -> pa.Array:
-        return pa.array([shared.value.decode(np.asarray(x or [], dtype="<u4").tobytes()) for x in lists.to_pylist()], type=pa.string())
+    def start():
+        back = shared.value.decode
+        return lambda lists: [pa.array([back(np.asarray(x or [], dtype="<u4").tobytes()) for x in lists], type=pa.string())]
 
-    return df.withColumn(output, back(F.col(ids)))
+    return with_columns(df, ids, f"`{output}` string", start)
 
 
-def tokenise(df: DataFrame, tokenizer_path: str, text: str = "text", output: str = "tokens") -> DataFrame:
-    """Adds ``output``, a struct of n_tokens, ids and decoded (the text that these ids give), in one pass."""
+def tokenise(df: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
+    """Adds n_tokens, ids and decoded (the text that these ids give) in one pass; columns of these names are replaced."""
     shared = _model(df.sparkSession, tokenizer_path)
 
-    @F.arrow_udf("struct<n_tokens:bigint,ids:array<int>,decoded:string>")
-    def both(texts: pa.Array) -> pa.Array:
-        ids = _ids(shared.value, texts.to_pylist())
-        n = pa.array([len(x) // 4 for x in ids], type=pa.int64())
-        decoded = pa.array(list(map(shared.value.decode, ids)), type=pa.string())
-        return pa.StructArray.from_arrays([n, _lists(ids), decoded], names=["n_tokens", "ids", "decoded"])
+    def start():
+        model = shared.value
+
+        def work(texts):
+            ids = model.encode_batch([t or "" for t in texts])
+            n = pa.array([len(x) // 4 for x in ids], type=pa.int64())
+            return [n, _lists(ids), pa.array(list(map(model.decode, ids)), type=pa.string())]
+
+        return work
 
-    return df.withColumn(output, both(F.col(text)))
+    return with_columns(df, text, "n_tokens long, ids array<int>, decoded string", start)
 
 
 def round_trip(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -273,7 +271,7 @@ def round_trip(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text:
         def work(keys, texts):
             n, of_ids, of_text = [], [], []
             for i in range(0, len(texts), 500):
-                for ids in _ids(model, texts[i : i + 500]):
+                for ids in model.encode_batch([t or "" for t in texts[i : i + 500]]):
                     n.append(len(ids) // 4)
                     of_ids.append(sha256(ids).hexdigest())
                     of_text.append(sha256(model.decode(ids).encode("utf-8")).hexdigest())

@@ -88,6 +88,32 @@ def map_columns(
     return picked.mapInArrow(run, fields)
 
 
+def with_columns(df: DataFrame, column: str, added: str, start: Callable[[], Callable[[list], list]], rows: int = 500) -> DataFrame:
+    """``df`` with the columns of ``added`` (a schema) that ``start()(values of column)`` gives, as Arrow arrays.
+
+    Output goes out in pieces of ``rows`` rows, so neither side holds the results of a whole input batch.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    new = df.sparkSession.createDataFrame([], added).schema
+    taken = {f.name.lower() for f in new.fields}
+    kept = df.select(*(c for c in df.columns if c.lower() not in taken))
+    at = kept.columns.index(column)
+    schema = StructType([*kept.schema.fields, *new.fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, rows):
+                part = batch.slice(begin, rows)
+                out = [*part.columns, *work(part.column(at).to_pylist())]
+                yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(out, arrow)], schema=arrow)
+
+    return kept.mapInArrow(run, schema)
+
+
 def bucket(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

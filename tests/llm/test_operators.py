@@ -300,8 +300,8 @@ def test_columns_are_kept(spark):
     out = bpe.decode(bpe.encode(df, PATH, output="tokens"), PATH, ids="tokens", output="back")
     assert out.columns == [*df.columns, "tokens", "back"] and out.first().back == "mail a@b.cd"
     r = bpe.tokenise(docs(spark, (1, None), (2, "a b")), PATH).orderBy("doc_id").collect()
-    assert (r[0].tokens.n_tokens, r[0].tokens.ids, r[0].tokens.decoded) == (0, [], "")
-    assert r[1].tokens.n_tokens == len(r[1].tokens.ids) == 2 and r[1].tokens.decoded == "a b"
+    assert (r[0].n_tokens, r[0].ids, r[0].decoded) == (0, [], "")
+    assert r[1].n_tokens == len(r[1].ids) == 2 and r[1].decoded == "a b" and r[1].words == [1]
 
 
 PAGES = "page_id long, url string, html string"
