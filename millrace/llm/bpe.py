@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import map_columns, with_columns
 
 #: pieces that a worker remembers; beyond it the memory starts afresh (only speed depends on it)
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 _PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+"""
 _FAST = regex.compile(_PIECES.format(L=r"\p{L}", N=r"\p{N}"))
@@ -258,7 +258,7 @@ def tokenise(df: DataFrame, tokenizer_path: str, text: str = "text") -> DataFram
 
         return work
 
-    return with_columns(df, text, "n_tokens long, ids array<int>, decoded string", start)
+    return with_columns(df, text, "n_tokens long, ids array<int>, decoded string", start, rows=250)
 
 
 def round_trip(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,11 +270,10 @@ def round_trip(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text:
 
         def work(keys, texts):
             n, of_ids, of_text = [], [], []
-            for i in range(0, len(texts), 500):
-                for ids in model.encode_batch([t or "" for t in texts[i : i + 500]]):
-                    n.append(len(ids) // 4)
-                    of_ids.append(sha256(ids).hexdigest())
-                    of_text.append(sha256(model.decode(ids).encode("utf-8")).hexdigest())
+            for ids in model.encode_batch([t or "" for t in texts]):
+                n.append(len(ids) // 4)
+                of_ids.append(sha256(ids).hexdigest())
+                of_text.append(sha256(model.decode(ids).encode("utf-8")).hexdigest())
             return [keys, n, of_ids, of_text]
 
         return work
@@ -284,4 +283,5 @@ def round_trip(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text:
         [F.col(doc_id).cast("long").alias("doc_id"), text],
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
         start,
+        rows=250,
     )

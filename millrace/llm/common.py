@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -57,16 +60,29 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextlib.contextmanager
+def given_back():
+    """After a task, memory that its Python worker no longer needs goes back to the system; workers are kept and reused."""
+    try:
+        yield
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_columns(
     df: DataFrame,
     columns: Sequence[str | Column],
     schema: str,
     start: Callable[[], Callable[..., list]],
+    rows: int = 1000,
 ) -> DataFrame:
     """Narrow, streaming Arrow map.
 
-    ``start()`` runs once for each task and returns a function that takes the columns of a batch as lists
-    (or Arrow arrays for binary columns) and returns the output columns. Only one batch is held at a time.
+    ``start()`` runs once for each task and returns a function that takes columns as lists and returns the
+    output columns. It gets ``rows`` rows at a time, and only one input batch is held.
     """
     picked = df.select(*columns)
     fields = picked.limit(0).sparkSession.createDataFrame([], schema).schema
@@ -75,15 +91,15 @@ def map_columns(
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = start()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = work(*(c.to_pylist() for c in batch.columns))
-            yield pa.RecordBatch.from_arrays(
-                [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, arrow)],
-                schema=arrow,
-            )
+        with given_back():
+            work = start()
+            for part in (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)):
+                out = work(*(c.to_pylist() for c in part.columns))
+                yield pa.RecordBatch.from_arrays(
+                    [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, arrow)],
+                    schema=arrow,
+                )
+            del work
 
     return picked.mapInArrow(run, fields)
 
@@ -104,12 +120,12 @@ def with_columns(df: DataFrame, column: str, added: str, start: Callable[[], Cal
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = start()
-        for batch in batches:
-            for begin in range(0, batch.num_rows, rows):
-                part = batch.slice(begin, rows)
+        with given_back():
+            work = start()
+            for part in (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)):
                 out = [*part.columns, *work(part.column(at).to_pylist())]
                 yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(out, arrow)], schema=arrow)
+            del work
 
     return kept.mapInArrow(run, schema)
 

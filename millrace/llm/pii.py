@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused, with_columns
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "secret")
 KEPT_FROM = 0.6
@@ -141,7 +143,7 @@ def detect(df: DataFrame, text: str = "text", output: str = "spans") -> DataFram
     @F.arrow_udf(SPANS)
     def found(texts: pa.Array) -> pa.Array:
         return pa.array(
-            [[dict(zip(("kind", "start", "end", "score"), s)) for s in spans_of(t)] for t in texts.to_pylist()], type=kind
+            [[dict(zip(("kind", "start", "end", "score"), s)) for s in spans_of(t.as_py())] for t in texts], type=kind
         )
 
     return df.withColumn(output, found(F.col(text)))
@@ -150,11 +152,10 @@ def detect(df: DataFrame, text: str = "text", output: str = "spans") -> DataFram
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replaces ``text`` by its redacted form."""
 
-    @F.arrow_udf("string")
-    def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([redacted(t) for t in texts.to_pylist()], type=pa.string())
-
-    return df.withColumn(text, clean(F.col(text)))
+    columns = df.columns
+    new = unused(df, "_redacted")
+    out = with_columns(df, text, f"`{new}` string", lambda: lambda texts: [pa.array(list(map(redacted, texts)), type=pa.string())])
+    return out.select(*(F.col(f"`{new}`").alias(c) if c == text else F.col(f"`{c}`") for c in columns))
 
 
 def digest(found: DataFrame, spans: str = "spans") -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, bucket, map_columns
+from .common import ALNUM, bucket, map_columns, with_columns
 
 BITS = 20
 #: labelled rows that the model is fitted on, at most
@@ -121,19 +121,19 @@ def fit(df: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label="t
 def score(df: DataFrame, model: Model, text: str = "text", output: str = "toxicity") -> DataFrame:
     """Adds ``output``, the probability of label 1."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    state: dict = {}
-
-    @F.arrow_udf("double")
-    def probability(texts: pa.Array) -> pa.Array:
-        if not state:
-            state.update(w=shared.value.dense(), f=Features())
-        w, f, bias = state["w"], state["f"], shared.value.bias
-        if not shared.value.trained:
-            return pa.array(np.zeros(len(texts)))
-        logits = np.array([float(w[f(t)].sum(dtype=np.float64)) + bias for t in texts.to_pylist()], dtype=np.float64)
-        return pa.array(1 / (1 + np.exp(-np.clip(logits, -35, 35))))
-
-    return df.withColumn(output, probability(F.col(text)))
+
+    def start():
+        w, f, bias, trained = shared.value.dense(), Features(), shared.value.bias, shared.value.trained
+
+        def work(texts):
+            if not trained:
+                return [pa.array(np.zeros(len(texts)))]
+            logits = np.array([float(w[f(t)].sum(dtype=np.float64)) + bias for t in texts], dtype=np.float64)
+            return [pa.array(1 / (1 + np.exp(-np.clip(logits, -35, 35))))]
+
+        return work
+
+    return with_columns(df, text, f"`{output}` double", start)
 
 
 def judged(df: DataFrame, labels: DataFrame) -> DataFrame:
