@@ -10,11 +10,13 @@ fewer words the whole sequence is one shingle. Documents are linked when 100 * |
    rarest of either sketch (prefix filter; the rarity of every value is counted). For sets whose union fits the
    sketch t is exact; else t lies 5.5 standard deviations below the mean overlap at the threshold. Values in a
    single sketch make no list.
-4. Lists are compared in blocks of ``BLOCK`` classes, so no list, however long, meets in one task. Differing
+4. Lists are compared in blocks of ``BLOCK`` classes, so no list, however long, meets in one task. A pair that
+   shares several lists is compared in the first of them only. Differing
    parity bits bound the symmetric difference from below: pairs beyond the bound cannot be linked. Of the others
-   a spanning forest is handed on, not all pairs; the estimate from the union of two sketches filters its edges.
-5. Edges are verified on the full sets. Where one fails between parts that stay apart, all remaining pairs of
-   that block which the bounds allow are verified as well, so no link is lost.
+   a spanning forest is handed on, not all pairs, and besides all pairs of rows that have few and only doubtful
+   ones. The estimate from the union of two sketches filters these edges.
+5. Edges are verified on the full sets. Where one of the forest fails between parts that stay apart, all remaining
+   pairs of that block which the bounds allow are verified as well, so no link is lost.
 6. Connected components by large-star and small-star steps on tables.
 
 Broadcasts (row numbers) are limited by ``BROADCAST_ROWS``; beyond it the same join is shuffled. A document
@@ -34,10 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, unused, without
+from .common import discard, given_back, saved, unused, without
 
 BLOCK = 512
 BITS = 2048
+#: allowed pairs of a doubtful row up to which all are verified at once
+FEW = 16
 #: row numbers that are broadcast at most (16 bytes each)
 BROADCAST_ROWS = 2_000_000
 _M, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -99,10 +103,11 @@ def _mapped(df: DataFrame, run, schema: str) -> DataFrame:
     arrow = to_arrow_schema(fields)
 
     def batches(it):
-        for cols in run(it):
-            yield pa.RecordBatch.from_arrays(
-                [(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(cols, arrow)], schema=arrow
-            )
+        with given_back():
+            for cols in run(it):
+                yield pa.RecordBatch.from_arrays(
+                    [(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(cols, arrow)], schema=arrow
+                )
 
     return df.mapInArrow(batches, fields)
 
@@ -141,7 +146,10 @@ def _small(ids: DataFrame) -> DataFrame:
 
 
 def inverted_lists(reps: DataFrame, rule: Rule) -> DataFrame:
-    """(v, row, m): for each value that is among the rarest of two sketches or more, its classes and their number."""
+    """(v, row, own, m): for each value that is among the rarest of two sketches or more, its classes and their number.
+
+    own: all values of the class that are among its rarest.
+    """
     entry = reps.select("row", "n", F.explode("sketch").alias("v"))
     shared = entry.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
     own = entry.join(shared, "v").groupBy("row").agg(F.first("n").alias("n"), F.collect_list(F.struct("c", "v")).alias("l"))
@@ -149,18 +157,19 @@ def inverted_lists(reps: DataFrame, rule: Rule) -> DataFrame:
     t = F.when(F.col("n") <= rule.exact_up_to, F.ceil(F.col("n") * rule.percent / 100)).otherwise(rule.least)
     take = (kept - t + 1 - (kept - F.size("l"))).cast("int")  # values of no other sketch come first and make no list
     prefix = own.withColumn("take", take).where("take > 0").select("row", F.slice(F.array_sort("l"), F.lit(1), F.col("take")).alias("l"))
-    rows = prefix.select("row", F.inline_outer("l")).select("v", "row")
+    own = prefix.select("row", F.transform("l", lambda x: x["v"]).alias("own"))
+    rows = own.select(F.explode_outer("own").alias("v"), "row", "own")
     long = rows.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
     return rows.join(long, "v")
 
 
 def blocks(lists: DataFrame, payload: DataFrame) -> DataFrame:
-    """(v, i, j, row, side, n, sketch, parity): each list cut into pairs of blocks of about BLOCK classes."""
+    """(v, i, j, row, side, own, n, sketch, parity): each list cut into pairs of blocks of about BLOCK classes."""
     b = F.ceil(F.col("m") / BLOCK).cast("int")
     cut = lists.withColumn("b", b).withColumn("side", F.pmod(F.xxhash64("row"), F.col("b")).cast("int"))
     spread = cut.withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("b") - 1)))
     i, j = F.least("side", "other"), F.greatest("side", "other")
-    return spread.select("v", i.alias("i"), j.alias("j"), "row", "side").join(payload, "row")
+    return spread.select("v", i.alias("i"), j.alias("j"), "row", "side", "own").join(payload, "row")
 
 
 def _estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,14 +184,35 @@ def _estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return both / np.maximum(used, 1), used
 
 
-def compare(n, parity, sketch, side, label, rule: Rule, everything: bool):
-    """Edges (index, index, passes the estimate) of one block: a spanning forest of the pairs that the bounds allow.
-
-    With ``everything`` all allowed pairs between different labels. side: block of each row; -1: one block.
+def met_before(own: pa.ListArray, v: int) -> np.ndarray | None:
+    """Which pairs of rows share a value below ``v``: they are compared in the list of that value. None: no pair does."""
+    values = own.flatten().to_numpy()
+    row = np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy()))
+    below = values < v
+    found, at, times = np.unique(values[below], return_inverse=True, return_counts=True)
+    shared = times > 1
+    if not shared.any():
+        return None
+    number = np.cumsum(shared) - 1
+    use = shared[at]
+    has = np.zeros((len(own), int(shared.sum())), dtype=np.float32)
+    has[row[below][use], number[at[use]]] = 1
+    return (has @ has.T) > 0
+
+
+def compare(n, parity, sketch, side, label, before, rule: Rule, everything: bool):
+    """Edges (index, index, passes the estimate, is of the forest) of one block.
+
+    side: block of each row where two blocks meet; None: one block. before: pairs that another list compares. A pair is allowed if the bounds don't
+    exclude a link. A row is doubtful if none of its pairs lies clearly inside the bounds. All allowed pairs
+    of doubtful rows with few of them are edges; of the other rows a spanning forest of their allowed pairs.
+    With ``everything`` all allowed pairs between different labels are edges.
     """
     m = len(n)
     p = rule.percent
+    bits = parity.shape[1] * 64
     far = np.full((m, m), np.inf, dtype=np.float32)
+    sure = np.zeros(m, dtype=bool)
     step = max(1, (1 << 20) // (m * parity.shape[1]))
     for at in range(0, m, step):
         rows = slice(at, min(m, at + step))
@@ -194,20 +224,34 @@ def compare(n, parity, sketch, side, label, rule: Rule, everything: bool):
             ok &= side[rows, None] != side[None, :]
         if everything:
             ok &= label[rows, None] != label[None, :]
+        if before is not None:
+            ok &= ~before[rows]
+        ok[np.arange(ok.shape[0]), np.arange(at, at + ok.shape[0])] = False
         far[rows] = np.where(ok, diff / both, np.inf)
-    np.fill_diagonal(far, np.inf)
+        # differences that share a bit cancel out: the likely number of differences, and three deviations more
+        likely = np.log1p(-np.minimum(2 * diff / bits, 0.999)) / np.log1p(-2 / bits)
+        sure[rows] = (ok & (likely * (1 + 3 * (2 / bits) ** 0.5) * (100 + p) <= (100 - p) * both)).any(axis=1)
+    allowed = np.isfinite(far)
     if everything:
-        a, b = np.nonzero(np.triu(np.isfinite(far), 1))
+        a, b = np.nonzero(np.triu(allowed, 1))
     else:
-        a, b = _forest(far)
+        closed = ~sure & (allowed.sum(axis=1) <= FEW)
+        a, b = np.nonzero(np.triu(allowed & (closed[:, None] | closed[None, :]), 1))
+        far[closed] = np.inf
+        far[:, closed] = np.inf
+        more = _forest(far)
+        a, b = np.concatenate([a, more[0]]), np.concatenate([b, more[1]])
+    forest = np.zeros(len(a), dtype=bool)
+    if not everything:
+        forest[len(a) - len(more[0]) :] = True
     if not len(a):
-        return a, b, np.empty(0, dtype=bool)
+        return a, b, forest, forest
     fine = []
     for at in range(0, len(a), 4096):
         est, used = _estimate(sketch[a[at : at + 4096]], sketch[b[at : at + 4096]], rule.k)
         j = p / 100
         fine.append(est >= np.where(used < rule.k, j - 1e-9, j - rule.sigmas * (j * (1 - j) / rule.k) ** 0.5))
-    return a, b, np.concatenate(fine)
+    return a, b, np.concatenate(fine), forest
 
 
 def _forest(far: np.ndarray):
@@ -237,8 +281,8 @@ def _forest(far: np.ndarray):
 
 
 def candidates(grouped: DataFrame, rule: Rule, everything: bool = False) -> DataFrame:
-    """(v, i, j, a, b, fine) from the rows of ``blocks`` (with a label for ``everything``)."""
-    cols = ["v", "i", "j", "row", "side", "n", "sketch", "parity", *(["label"] if everything else [])]
+    """(v, i, j, a, b, fine, forest) from the rows of ``blocks`` (with a label for ``everything``)."""
+    cols = ["v", "i", "j", "row", "side", "own", "n", "sketch", "parity", *(["label"] if everything else [])]
     parts = max(1, int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = grouped.select(*cols).repartition(parts, "v", "i", "j").sortWithinPartitions("v", "i", "j")
 
@@ -254,13 +298,14 @@ def candidates(grouped: DataFrame, rule: Rule, everything: bool = False) -> Data
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         side = t["side"].to_numpy() if i != j else None
         label = t["label"].to_numpy() if everything else None
-        a, b, fine = compare(n, parity, sketch, side, label, rule, everything)
+        before = met_before(t["own"].combine_chunks(), t["v"][0].as_py())
+        a, b, fine, forest = compare(n, parity, sketch, side, label, before, rule, everything)
         low, high = np.minimum(row[a], row[b]), np.maximum(row[a], row[b])
-        return [t["v"][0].as_py()] * len(a), [i] * len(a), [j] * len(a), low, high, fine
+        return [t["v"][0].as_py()] * len(a), [i] * len(a), [j] * len(a), low, high, fine, forest
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        rows: list[list] = [[] for _ in range(6)]
+        rows: list[list] = [[] for _ in range(7)]
 
         def flush(t):
             if t.num_rows > 1:
@@ -284,13 +329,13 @@ def candidates(grouped: DataFrame, rule: Rule, everything: bool = False) -> Data
             held.append(b.slice(begin))
             if len(rows[0]) > 50_000:
                 yield rows
-                rows[:] = [[] for _ in range(6)]
+                rows[:] = [[] for _ in range(7)]
         if held:
             flush(pa.Table.from_batches(held))
         if rows[0]:
             yield rows
 
-    return _mapped(dealt, run, "v long, i int, j int, a long, b long, fine boolean")
+    return _mapped(dealt, run, "v long, i int, j int, a long, b long, fine boolean, forest boolean")
 
 
 def verified(edges: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -320,6 +365,12 @@ def full_sets(documents: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     return found.dropDuplicates(["row"])
 
 
+def _sets_of(pairs: DataFrame, all_: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
+    ends = saved(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "ends")
+    wanted = saved(all_.select("row", "doc_id", "th").join(_small(ends), "row", "left_semi"), "wanted")
+    return saved(full_sets(documents, wanted, rule), "sets")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the smallest node that can be reached."""
     e = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
@@ -361,14 +412,12 @@ def groups(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     payload = all_.select("row", "n", "sketch", "parity").join(_small(listed), "row", "left_semi")
     grouped = blocks(lists, payload)
     edges = saved(candidates(grouped, rule), "candidates")
-    ends = edges.where("fine").select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    wanted = saved(all_.select("row", "doc_id", "th").join(_small(saved(ends, "ends")), "row", "left_semi"), "wanted")
-    sets = saved(full_sets(documents, wanted, rule), "sets")
-    tested = saved(verified(edges.where("fine").select("a", "b").distinct(), sets, rule), "tested")
+    pairs = saved(edges.where("fine").select("a", "b").distinct(), "pairs")
+    tested = saved(verified(pairs, _sets_of(pairs, all_, documents, rule), rule), "tested")
     roots = saved(components(tested.where("linked")), "roots")
 
     # blocks in which an edge of the forest failed between parts that are still apart
-    link = edges.join(tested, ["a", "b"], "left").where(~F.coalesce("linked", F.lit(False)))
+    link = edges.where("forest").join(tested, ["a", "b"], "left").where(~F.coalesce("linked", F.lit(False)))
     root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     apart = link.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(
         F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
@@ -379,10 +428,7 @@ def groups(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
         rows = rows.withColumn("label", F.coalesce("label", "row"))
         more = candidates(rows, rule, everything=True).where("fine").select("a", "b").distinct()
         more = saved(more.join(tested, ["a", "b"], "left_anti"), "more")
-        ends = more.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-        wanted = saved(all_.select("row", "doc_id", "th").join(_small(saved(ends, "ends")), "row", "left_semi"), "wanted")
-        sets2 = saved(full_sets(documents, wanted, rule), "sets")
-        also = verified(more, sets2, rule).where("linked")
+        also = verified(more, _sets_of(more, all_, documents, rule), rule).where("linked")
         roots = saved(components(tested.where("linked").unionByName(also)), "roots")
 
     named = classes.join(roots.withColumnRenamed("node", "row"), "row", "left").select("digest", "least_id", F.coalesce("root", "row").alias("root"))
