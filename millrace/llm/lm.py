@@ -1,15 +1,19 @@
 """Language-model scores by a weighted backoff automaton over words.
 
-States are the start of the text, every core word and the root. An arc of a core state is a kept bigram with
-its smoothed weight; where a state has no arc for the next word, its failure arc (the backoff weight) leads to
-the root, whose arcs are all the words of the training texts (absolute discounting). The discounted mass is
-spread evenly over the words that no training text has; their number is estimated from how many words were
-seen once and twice (Chao1). One left-to-right traversal carries the state and sums the log-probabilities.
+States are the start of the text, every word of the training texts and the root. An arc of a state is a bigram
+of the training texts with its smoothed weight; where a state has no arc for the next word, its failure arc (the
+backoff weight) leads to the root, whose arcs are all the words of the training texts (absolute discounting). The
+discounted mass is spread evenly over the words that no training text has; their number is estimated from how
+many words were seen once and twice (Chao1). One left-to-right traversal sums the log-probabilities.
 
-What is counted: all words and all bigrams of core words of all training texts. What is broadcast has a proven
+What is counted: all words and all bigrams of all training texts, however rare. What is broadcast has a proven
 size, as every kept item has at least a fixed relative frequency: ``KEPT`` allows 1/KEPT words, ``CORE``
-1/CORE core words, ``PAIRS`` 1/PAIRS bigrams. The arcs of all rarer words are looked up by a join: a traversal
-leaves their weights open, with how often each word stands in the text, and the join adds them.
+1/CORE core words, ``PAIRS`` 1/PAIRS bigrams of core words. Everything rarer is looked up by a join: a traversal
+takes the failure arc where it has no arc at hand and leaves the weights of rare words open; one join adds those,
+another turns the failure arc into the bigram's own arc where the training texts have it.
+
+Words have numbers: their rank if they are broadcast, else a negative hash, for which a seed is taken that gives no
+two training words the same one.
 
 Null texts are empty (one token, the end). The id of a null counts as the empty text in the split. Repeated
 rows are counted and scored each. Without training texts every word is unseen.
@@ -19,9 +23,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,80 +77,111 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     return _batches(texts, [text], "word binary, n long", work).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _pair_counts(texts: DataFrame, core, text: str) -> DataFrame:
-    """(pair, n) of neighbouring core words, with the start and the end of the text as words."""
+def numbers(words: list[bytes], known: dict[bytes, int], seed: int) -> list[int]:
+    """The rank of a known word, else a negative hash."""
+    get, h = known.get, xxhash.xxh3_64_intdigest
+    return [i if (i := get(w)) is not None else (h(w, seed) >> 1) - (1 << 63) for w in words]
+
+
+def _pair_counts(texts: DataFrame, words, seed: int, text: str) -> DataFrame:
+    """(h, w, n) of all neighbouring words, with the start and the end of the text as word 0."""
 
     def work(batches):
-        ids = {w: i + 1 for i, w in enumerate(core.value)}
-        m = len(ids) + 1
+        known = {w: i for i, w in enumerate(words.value) if i}
         for (rows,) in batches:
             for k in range(0, len(rows), 1000):
-                flat: list[int] = []
+                flat = [0]
                 for t in rows[k : k + 1000]:
+                    flat += numbers(tokens(t), known, seed)
                     flat.append(0)
-                    flat += [ids.get(w, -1) for w in tokens(t)]
-                flat.append(0)
                 a = np.array(flat, dtype=np.int64)
-                both = (a[:-1] >= 0) & (a[1:] >= 0)
-                key, n = np.unique(a[:-1][both] * m + a[1:][both], return_counts=True)
-                yield key, n
+                order = np.lexsort((a[1:], a[:-1]))
+                h, w = a[:-1][order], a[1:][order]
+                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+                yield h[first], w[first], np.diff(np.r_[first, len(h)])
+
+    return _batches(texts, [text], "h long, w long, n long", work).groupBy("h", "w").agg(F.sum("n").alias("n"))
+
 
-    return _batches(texts, [text], "pair long, n long", work).groupBy("pair").agg(F.sum("n").alias("n"))
+class Tables(NamedTuple):
+    """words: (word, id, n, one, back) of all words and the end; arcs: (h, w, n) of all bigrams."""
+
+    words: DataFrame
+    arcs: DataFrame
+
+
+def _with_word(df: DataFrame, words: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``df`` with columns of its word ``key``; frequent words, the only hot keys, are at most 1/KEPT and broadcast."""
+    other = words.select(F.col("id").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in columns))
+    often, rare = F.col(key) >= 0, F.col(key) < 0
+    return df.where(often).join(F.broadcast(other.where(often)), key).unionByName(df.where(rare).join(other.where(rare), key))
 
 
 class Automaton:
     """Arrays of the word automaton; ``words[0]`` is the end of the text, and its start among histories."""
 
-    def __init__(self, words, counts, total, kinds, once, twice, n_core, pairs, pair_counts):
+    def __init__(self, words, counts, total, kinds, once, twice, n_core):
         self.words, self.n_core = words, n_core
         self.total, self.kinds = total, kinds
+        self.seed = 0
         self.discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once and twice else DISCOUNT
-        c = np.asarray(counts, dtype=np.float64)
-        self.base = np.log10(c + 1)
+        self.counts = np.asarray(counts, dtype=np.float64)
+        self.base = np.log10(self.counts + 1)
         self.denominator = math.log10(total + kinds + 1)
         self.log_total = math.log10(max(total, 1))
         unseen_kinds = max(1.0, once * once / (2 * twice) if twice else once * (once - 1) / 2)
         self.unseen = math.log10(max(self.discount * kinds, 1) / max(total, 1) / unseen_kinds)
-        kept = np.maximum(c - self.discount, 1e-3) / max(total, 1)
-        self.one = np.log10(kept)
-        m = n_core
-        order = np.argsort(pairs)
-        self.pairs = np.asarray(pairs, dtype=np.int64)[order]
-        n2 = np.asarray(pair_counts, dtype=np.float64)[order]
-        history, word = self.pairs // m, self.pairs % m
-        p2 = np.maximum(n2 - DISCOUNT, 1e-3) / c[history] if len(n2) else n2
-        used, freed = np.zeros(m), np.zeros(m)
-        np.add.at(used, history, p2)
-        np.add.at(freed, history, kept[word])
-        self.two = np.log10(p2)
-        self.back = np.log10(np.maximum(1 - used, 1e-9) / np.maximum(1 - freed, 1e-9))
+        self.one = np.log10(np.maximum(self.counts - self.discount, 1e-3) / max(total, 1))
+        self.back = np.zeros(len(words))
+        self.pairs, self.two = np.empty(0, dtype=np.int64), np.empty(0)
+
+    def add_arcs(self, h, w, n) -> None:
+        """Arcs between core words; the others stay in the table."""
+        key = np.asarray(h, dtype=np.int64) * self.n_core + np.asarray(w, dtype=np.int64)
+        order = np.argsort(key)
+        self.pairs = key[order]
+        n2 = np.asarray(n, dtype=np.float64)[order]
+        self.two = np.log10(n2 - DISCOUNT) - np.log10(self.counts[self.pairs // self.n_core])
 
     def start(self) -> None:
         self.ids = {w: i for i, w in enumerate(self.words) if i}
 
     def score(self, words: list[bytes]):
-        """(log10 probability without the arcs of rare words, sum of log10(c+1) of kept tokens, their number, rare words)."""
-        get = self.ids.get
-        a = np.array([0, *[get(w, -1) for w in words], 0], dtype=np.int64)
+        """(log10 probability by the arcs at hand, sum of log10(c+1) of kept tokens, their number, rare words, open bigrams)."""
+        a = np.array([0, *numbers(words, self.ids, self.seed), 0], dtype=np.int64)
         now, before = a[1:], a[:-1]
         kept = now >= 0
-        state = np.where(before < self.n_core, before, -1)  # only core words have arcs of their own
         m = self.n_core
         arc = np.full(len(now), -1, dtype=np.int64)
-        could = (state >= 0) & kept & (now < m)
+        could = (before >= 0) & (before < m) & kept & (now < m)
         if len(self.pairs) and could.any():
-            key = state[could] * m + now[could]
+            key = before[could] * m + now[could]
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
             arc[could] = np.where(self.pairs[at] == key, at, -1)
-        direct = arc >= 0
-        failed = ~direct & (state >= 0)
-        total = self.two[arc[direct]].sum() + self.back[state[failed]].sum() + self.one[now[~direct & kept]].sum()
+        failed = arc < 0
+        total = self.two[arc[~failed]].sum() + self.back[before[failed & (before >= 0)]].sum() + self.one[now[failed & kept]].sum()
         rare = Counter(words[i] for i in np.flatnonzero(~kept).tolist())
-        return float(total), float(self.base[now[kept]].sum()), int(kept.sum()), rare
+        return float(total), float(self.base[now[kept]].sum()), int(kept.sum()), rare, before[failed], now[failed]
+
 
+def _vocabulary(counts: DataFrame, words, n_texts: int) -> tuple[DataFrame, int]:
+    """The saved table (word, id, n) of all words and the end, and the seed of the numbers."""
+    end = counts.sparkSession.createDataFrame([(bytearray(), 0, n_texts)], "word binary, id long, n long")
+    for seed in count():
 
-def train(texts: DataFrame, text: str = "text") -> tuple[Automaton, DataFrame]:
-    """The automaton, and the saved table (word, n) of all words."""
+        def work(batches, seed=seed):
+            known = {w: i for i, w in enumerate(words.value) if i}
+            for w, n in batches:
+                yield w, numbers(w, known, seed), n
+
+        out = saved(_batches(counts, ["word", "n"], "word binary, id long, n long", work).unionByName(end), "vocabulary")
+        if out.where("id < 0").groupBy("id").count().where("count > 1").isEmpty():
+            return out, seed
+        discard(out)
+
+
+def train(texts: DataFrame, text: str = "text") -> tuple[Automaton, Tables]:
+    """The automaton, and the saved tables of all words and all bigrams."""
     counts = saved(word_counts(texts, text), "words")
     n_texts = texts.count()
     n_words, kinds, once, twice = counts.agg(
@@ -155,16 +193,36 @@ def train(texts: DataFrame, text: str = "text") -> tuple[Automaton, DataFrame]:
     order = sorted(range(len(kept["n"])), key=lambda i: (-kept["n"][i], kept["word"][i]))
     words = [b"", *[kept["word"][i] for i in order]]
     n = [n_texts, *[kept["n"][i] for i in order]]
-    core = [w for w, k in zip(words[1:], n[1:]) if k >= CORE * total]
-    sc = texts.sparkSession.sparkContext
-    floor = max(2, PAIRS * total)
-    pairs = _pair_counts(texts, sc.broadcast(core), text).where(F.col("n") >= floor).toArrow().to_pydict()
-    return Automaton(words, n, total, kinds, once, twice, len(core) + 1, pairs["pair"], pairs["n"]), counts
-
-
-def score(df: DataFrame, model: Automaton, counts: DataFrame, doc_id="doc_id", text="text", folds=7, held=2) -> DataFrame:
+    n_core = 1 + sum(k >= CORE * total for k in n[1:])
+    model = Automaton(words, n, total, kinds, once, twice, n_core)
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+    vocabulary, model.seed = _vocabulary(counts, shared, n_texts)
+    discard(counts)
+    arcs = saved(_pair_counts(texts, shared, model.seed, text), "arcs")
+    # the arcs of a history hold all its occurrences, so their discounts are the mass that is left to the root
+    mass = F.greatest(F.col("n") - model.discount, F.lit(1e-3)) / max(total, 1)
+    left = (
+        _with_word(arcs.select("h", "w"), vocabulary.withColumn("mass", mass), "w", "mass")
+        .groupBy("h")
+        .agg(F.count("*").alias("arcs"), F.sum("mass_w").alias("freed"))
+        .withColumnRenamed("h", "id")
+    )
+    back = F.log10(DISCOUNT * F.col("arcs") / F.col("n") / F.greatest(1 - F.col("freed"), F.lit(1e-9)))
+    table = saved(vocabulary.join(left, "id").select("word", "id", "n", F.log10(mass).alias("one"), back.alias("back")), "weights")
+    discard(vocabulary)
+    got = table.where("id >= 0").select("id", "back").toArrow()
+    model.back[got["id"].to_numpy()] = got["back"].to_numpy()
+    # every arc at hand has at least PAIRS * total occurrences: 1/PAIRS rows at most
+    often = (F.col("n") >= PAIRS * total) & F.col("h").between(0, n_core - 1) & F.col("w").between(0, n_core - 1)
+    got = arcs.where(often).toArrow()
+    model.add_arcs(*(got[c].to_numpy() for c in "hwn"))
+    return model, Tables(table, arcs)
+
+
+def score(df: DataFrame, model: Automaton, tables: Tables, doc_id="doc_id", text="text", folds=7, held=2) -> DataFrame:
     """One row per document with the model's score and the unigram base score."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    pair_list = pa.list_(pa.field("element", pa.struct([("h", pa.int64()), ("w", pa.int64())])))
 
     def start():
         shared.value.start()
@@ -172,12 +230,15 @@ def score(df: DataFrame, model: Automaton, counts: DataFrame, doc_id="doc_id", t
         seen = iter(range(1 << 36))
 
         def work(ids, held_out, texts):
-            rows = []
+            rows, opened = [], []
             for i, h, t in zip(ids, held_out, texts):
                 words = tokens(t)
-                p, base, kept, rare = shared.value.score(words)
+                p, base, kept, rare, *pairs = shared.value.score(words)
                 rows.append((part + next(seen), i, h, len(words) + 1, kept, base, p, [{"word": w, "n": n} for w, n in rare.items()]))
-            return list(map(list, zip(*rows)))
+                opened.append(pairs)
+            at = pa.array(np.cumsum([0, *(len(h) for h, _ in opened)]), type=pa.int32())
+            both = pa.StructArray.from_arrays([np.concatenate(x) for x in zip(*opened)], names=["h", "w"])
+            return [*map(list, zip(*rows)), pa.ListArray.from_arrays(at, both).cast(pair_list)]
 
         return work
 
@@ -186,36 +247,50 @@ def score(df: DataFrame, model: Automaton, counts: DataFrame, doc_id="doc_id", t
             df,
             [F.col(doc_id).cast("long").alias("doc_id"), (bucket(doc_id, folds) == held).alias("held_out"), text],
             "row long, doc_id long, held_out boolean, n_tokens long, kept long, base double, score double, "
-            "rare array<struct<word:binary,n:long>>",
+            "rare array<struct<word:binary,n:long>>, open array<struct<h:long,w:long>>",
             start,
         ),
         "scored",
     )
     rare = scored.select("row", F.inline("rare")).withColumnRenamed("n", "k")
     known = (
-        rare.join(counts.where(F.col("n") < KEPT * model.total), "word")
+        rare.join(tables.words.where("id < 0").drop("id"), "word")
         .groupBy("row")
         .agg(
             F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more"),
-            F.sum(F.col("k") * (F.log10(F.col("n") - model.discount) - model.log_total)).alias("arcs"),
+            F.sum(F.col("k") * (F.col("one") + F.col("back"))).alias("arcs"),
             F.sum("k").alias("found"),
         )
     )
+    # what the bigram's own arc gives more than the failure arc that the traversal took
+    gain = F.log10(F.col("n") - DISCOUNT) - F.log10("n_h") - F.col("back_h") - F.col("one_w")
+    arcs = _with_word(_with_word(tables.arcs, tables.words, "h", "n", "back"), tables.words, "w", "one")
+    gained = (
+        scored.select("row", F.inline("open"))
+        .join(arcs.select("h", "w", gain.alias("gain")), ["h", "w"])
+        .groupBy("row")
+        .agg(F.sum("gain").alias("gain"))
+    )
     zero = F.lit(0)
     found = F.coalesce("found", zero)
     unseen = F.col("n_tokens") - F.col("kept") - found
-    return scored.drop("rare").join(known, "row", "left").select(
+    return scored.drop("rare", "open").join(known, "row", "left").join(gained, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         ((F.col("kept") - (0 if model.kinds else 1)) + found).cast("long").alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", zero.cast("double")) - F.col("n_tokens") * F.lit(model.denominator)).alias("base_score"),
-        (F.col("score") + F.coalesce("arcs", zero.cast("double")) + unseen * F.lit(model.unseen)).alias("score"),
+        (
+            F.col("score")
+            + F.coalesce("arcs", zero.cast("double"))
+            + F.coalesce("gain", zero.cast("double"))
+            + unseen * F.lit(model.unseen)
+        ).alias("score"),
     )
 
 
 def scored(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     part = df.select(doc_id, text)
-    model, counts = train(part.where(bucket(doc_id, 7) != 2), text)
-    return score(part, model, counts, doc_id, text)
+    model, tables = train(part.where(bucket(doc_id, 7) != 2), text)
+    return score(part, model, tables, doc_id, text)

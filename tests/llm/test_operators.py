@@ -244,6 +244,47 @@ def test_scores_beat_the_base_on_unseen_texts(spark):
     assert all(r["sum(score)"] > r["sum(base_score)"] for r in got) and len(got) == 2
 
 
+def brute_scores(rows):
+    """Backoff over all bigrams of the training texts, without any cut."""
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+    one, two = Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            w = [*solid(t), ""]
+            one.update(w)
+            two.update(zip(["", *w], w))
+    total, ones, twos = sum(one.values()), *(sum(n == k for w, n in one.items() if w) for k in (1, 2))
+    d = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones and twos else lm.DISCOUNT
+    p1 = {w: (n - d) / total for w, n in one.items()}
+    arcs = Counter(h for h, _ in two)
+    freed = Counter()
+    for h, w in two:
+        freed[h] += p1[w]
+    back = {h: lm.DISCOUNT * arcs[h] / one[h] / (1 - freed[h]) for h in arcs}
+    unseen = d * len(one) / total / max(1, ones * ones / (2 * twos) if twos else ones * (ones - 1) / 2)
+    out = []
+    for i, t in rows:
+        w = [*solid(t), ""]
+        pairs = zip(["", *w], w)
+        out.append((i, sum(math.log10((two[p] - lm.DISCOUNT) / one[p[0]] if p in two else back.get(p[0], 1) * p1.get(p[1], unseen)) for p in pairs)))
+    return out
+
+
+@pytest.mark.parametrize("kept, core, pairs", [(lm.KEPT, lm.CORE, lm.PAIRS), (0.01, 0.05, 0.02), (0.5, 0.6, 0.7)])
+def test_scores_use_all_bigrams(spark, monkeypatch, kept, core, pairs):
+    """What is broadcast decides where an arc is looked up, never whether it counts."""
+    for name, value in (("KEPT", kept), ("CORE", core), ("PAIRS", pairs)):
+        monkeypatch.setattr(lm, name, value)
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice("abcdefgh") * rng.choice((1, 1, 2, 3)) for _ in range(rng.randint(0, 40))) + f" u{k % 50} v{k % 50}") for k in range(120)]
+    rows += [(None, None), (3, "a b"), (3, "a b")]
+    key = lambda r: (r[0] is None, r)
+    got = sorted(((r.doc_id, r.score) for r in lm.scored(wide(spark, *rows)).collect()), key=key)
+    want = sorted(brute_scores(rows), key=key)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9)
+
+
 def test_language_model_of_nothing(spark):
     assert lm.scored(docs(spark)).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
