@@ -2,7 +2,8 @@
 
 Base kinds (always kept): email, ip, card, phone. Kinds of this module besides: iban (mod-97), ssn (kept from
 a score of 0.6 on, which needs a context word) and secret (a key name with its value). Spans are in code
-points, end exclusive, and are found leftmost and without overlap inside each kind. A null text counts as
+points, end exclusive, and are found leftmost and without overlap inside each kind. An iban may end at any word
+boundary where mod-97 holds: at the length of its country, else as late as possible. A null text counts as
 empty. All searches are linear in the length of the text, so very long texts need no cap. Repeated rows give
 repeated results, extra columns pass through.
 """
@@ -41,7 +42,33 @@ _MAY_BE_IP = re.compile(r"[0-9]\.[0-9]++\.[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}))")
+#: characters of an iban by country
+_IBAN_LENGTH = {
+    country: int(n)
+    for n, *countries in map(
+        str.split,
+        """15 NO
+        16 BE
+        18 DK FI FO GL NL SD FK
+        19 MK SI
+        20 AT BA EE KZ LT LU MN XK
+        21 CH CR HR LI LV
+        22 BG BH DE GB GE IE ME RS VA
+        23 AE GI IL IQ OM SO TL
+        24 AD CZ ES MD PK RO SA SE SK TN VG
+        25 LY PT ST
+        26 IS TR
+        27 BI DJ FR GR IT MC MR SM
+        28 AL AZ BY CY DO GT HN HU LB NI PL SV
+        29 BR EG PS QA UA
+        30 JO KW MU YE
+        31 MT SC
+        32 LC
+        33 RU""".splitlines(),
+    )
+    for country in countries
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(
     r"(?:token|secret|password|api[_-]?key)\x20{0,2}[=:]\x20{0,2}[\"']?([A-Za-z0-9_/+-]{16,512})", re.IGNORECASE
@@ -54,12 +81,37 @@ def luhn(digits: str) -> bool:
     return sum(_LUHN[i & 1][ord(d) - 48] for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
-def mod97(iban: str) -> bool:
-    moved = iban[4:] + iban[:4]
-    rest = 0
-    for c in moved:
+def _mod97(chars: str, rest: int = 0) -> int:
+    for c in chars:
         rest = (rest * (10 if c.isdigit() else 100) + int(c, 36)) % 97
-    return rest == 1
+    return rest
+
+
+def mod97(iban: str) -> bool:
+    return _mod97(iban[4:] + iban[:4]) == 1
+
+
+def _iban_end(text: str, m: re.Match) -> int:
+    """Where the iban ends whose first four characters ``m`` has found; 0 if mod-97 holds at no word boundary."""
+    rest, n, end = 0, 4, 0
+    for i in range(m.start(2), m.end(2)):
+        if text[i] == " ":
+            continue
+        rest, n = _mod97(text[i], rest), n + 1
+        after = text[i + 1 : i + 2]
+        if n >= 15 and not (after.isascii() and after.isalnum()) and _mod97(m[0], rest) == 1:
+            end = i + 1
+            if n == _IBAN_LENGTH.get(m[1]):
+                break
+    return end
+
+
+def _ibans(text: str):
+    done = 0
+    for m in _IBAN.finditer(text):
+        if m.start() >= done and (end := _iban_end(text, m)):
+            done = end
+            yield m.start(), end
 
 
 def _emails(text: str):
@@ -100,9 +152,7 @@ def _proposed(text: str):
         for m in _PHONE.finditer(text):
             if 8 <= sum(map(str.isdigit, m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", m.start(), m.end()
+    yield from (("iban", a, b) for a, b in _ibans(text))
     yield from (("ssn", m.start(), m.end()) for m in _SSN.finditer(text))
     yield from (("secret", m.start(1), m.end(1)) for m in _SECRET.finditer(text))
 

@@ -87,6 +87,15 @@ def test_method_spans():
     assert pii.redacted(None) is None and pii.redacted("nothing") == "nothing"
 
 
+@pytest.mark.parametrize("after", ["", ".", " BIC COBADEFFXXX", " EUR 500", " A payment", " 12 34 56 78", " GB82 WEST 1234 5698 7654 32", " AB12 3456"])
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S", "ZZ90WEST12345698765473"])
+@pytest.mark.parametrize("before", ["", "to AB12 3456 ", "REF XY99 "])
+def test_ibans_end_at_a_checked_boundary(before, iban, after):
+    text = before + iban + after
+    assert iban in [text[a:b] for k, a, b, _ in pii.spans_of(text) if k == "iban"]
+    assert iban not in pii.redacted(text)
+
+
 def test_long_runs_take_linear_time():
     began = time.perf_counter()
     for unit in ("a", "1", "1.", "a@", "@", "+1", "+1(", "token", "token ", "AB12", "1-", "."):
