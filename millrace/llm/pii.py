@@ -71,7 +71,7 @@ _IBAN_LENGTH = {
 }
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(
-    r"(?:token|secret|password|api[_-]?key)\x20{0,2}[=:]\x20{0,2}[\"']?([A-Za-z0-9_/+-]{16,512})", re.IGNORECASE
+    r"(?:token|secret|password|api[_-]?key)\x20{0,2}[=:]\x20{0,2}[\"']?([A-Za-z0-9_/+-]{16,}+)", re.IGNORECASE
 )
 _DIGIT = re.compile("[0-9]")
 _LUHN = ((0, 1, 2, 3, 4, 5, 6, 7, 8, 9), (0, 2, 4, 6, 8, 1, 3, 5, 7, 9))

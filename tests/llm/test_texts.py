@@ -96,6 +96,13 @@ def test_ibans_end_at_a_checked_boundary(before, iban, after):
     assert iban not in pii.redacted(text)
 
 
+@pytest.mark.parametrize("n", [15, 16, 512, 513, 700, 100_000])
+def test_secrets_of_any_length(n):
+    text = "token=" + "aB3-" * (n // 4) + "x" * (n % 4)
+    assert [s[:3] for s in pii.spans_of(text + " end")] == ([("secret", 6, 6 + n)] if n >= 16 else [])
+    assert pii.redacted(text + " end") == ("token=<SECRET> end" if n >= 16 else text + " end")
+
+
 def test_long_runs_take_linear_time():
     began = time.perf_counter()
     for unit in ("a", "1", "1.", "a@", "@", "+1", "+1(", "token", "token ", "AB12", "1-", "."):
