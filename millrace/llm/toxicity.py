@@ -2,7 +2,8 @@
 
 Per-coordinate learning rates and L1 keep the weights sparse, so they can be broadcast: at most ``2**BITS``
 of them, whatever the corpus. The model is fitted on a bounded sample of labelled rows (``max_rows``, the
-smallest hashes of their ids); it then scores every whole text. Without a labelled row every score is 0.
+smallest hashes of their ids, and at most twice as many different texts of them: one of each id, then those with
+the smallest hashes); it then scores every whole text. Without a labelled row every score is 0.
 
 Null texts are scored as empty ones. Labels of a repeated id count once (the larger one). Null labels and
 null ids are not learnt from.
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, bucket, map_columns, with_columns
+from .common import ALNUM, bucket, discard, map_columns, saved, with_columns
 
 BITS = 20
 #: labelled rows that the model is fitted on, at most
@@ -113,8 +114,14 @@ def fit(df: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label="t
 
         return work
 
-    got = map_columns(known, ["_id", "_t", "_y"], "id long, x binary, y int, h long", start).toArrow()
-    rows = sorted({(r["id"], r["h"]): r for r in got.to_pylist()}.items())[: 2 * max_rows]
+    texts = map_columns(known, ["_id", "_t", "_y"], "id long, x binary, y int, h long", start)
+    texts = saved(texts.groupBy("id", "h").agg(F.first("x").alias("x"), F.first("y").alias("y")), "sample")
+    # at most max_rows rows
+    least = texts.groupBy("id").agg(F.min("h").alias("least"))
+    # an id may stand on any number of rows: the bound holds before they go to the driver
+    got = texts.join(F.broadcast(least), "id").orderBy(F.col("h") != F.col("least"), "h", "id").limit(2 * max_rows).drop("least").toArrow()
+    discard(texts)
+    rows = sorted({(r["id"], r["h"]): r for r in got.to_pylist()}.items())
     return ftrl([np.frombuffer(r["x"], dtype=np.int32) for _, r in rows], [r["y"] for _, r in rows])
 
 

@@ -317,6 +317,22 @@ def test_toxicity_of_odd_tables(spark):
     assert toxicity.judged(docs(spark), labels).collect() == []
 
 
+def test_toxicity_sample_is_bounded_in_rows(spark, monkeypatch):
+    """A labelled id on many rows neither fills the driver nor drives out the other ids."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 0][:4]
+    labels = spark.createDataFrame([(i, int(i != ids[0])) for i in ids], "doc_id long, toxic int")
+    rows = [(ids[0], f"a b c{k}") for k in range(200)] * 2 + [(i, f"x y z{i}") for i in ids[1:]]
+    fetched, learnt = [], []
+    fetch = DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: fetched.append(fetch(self)) or fetched[-1])
+    monkeypatch.setattr(toxicity, "ftrl", lambda x, y: learnt.extend(y))
+    toxicity.fit(wide(spark, *rows), labels, max_rows=4)
+    assert [t.num_rows for t in fetched] == [8]
+    assert sorted(learnt) == [0] * 5 + [1] * 3
+
+
 # ------------------------------------------------------------------ the others on odd tables
 
 
