@@ -152,9 +152,22 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
 
 
-def without(documents: DataFrame, keys: DataFrame) -> DataFrame:
-    """The documents whose (doc_id, th) is not in ``keys``: a broadcast of checked size, else a shuffled join."""
+def _keys(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``keys`` ready to be joined (a broadcast if their number, which is counted, allows it), and the condition."""
     keys = saved(keys.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "keys")
     small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return F.broadcast(keys) if small else keys, keys
+
+
+def without(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents whose (doc_id, th) is not in ``keys``: a broadcast of checked size, else a shuffled join."""
+    side, keys = _keys(keys)
     same = documents["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (F.xxhash64(documents["text"]) == keys["_th"])
-    return documents.join(F.broadcast(keys) if small else keys, same, "left_anti")
+    return documents.join(side, same, "left_anti")
+
+
+def only(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of (doc_id, th, …) whose (doc_id, th) is in ``keys``, planned like ``without``."""
+    side, keys = _keys(keys)
+    same = documents["doc_id"].eqNullSafe(keys["_id"]) & (documents["th"] == keys["_th"])
+    return documents.join(side, same, "left_semi")

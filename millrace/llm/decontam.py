@@ -3,14 +3,20 @@
 Words are lower-cased (A-Z) alphanumeric runs. For items of at least ``WINDOW`` words the span is WINDOW, for
 shorter ones the whole item. Fingerprints of a span of L words: k-grams of k = (L + 1) / 2 words are hashed and
 of each window of L - k + 1 consecutive hashes the smallest is kept. A window covers exactly L words, so two
-texts that share L words in a row share the fingerprint of those words: no shared span is missed. Training and
-benchmark fingerprints are joined on the hash, which gives diagonals (offsets between text and item). Each
-diagonal is then extended over the words themselves, so hits are exact whatever the hashes do.
-
-Fingerprints of the benchmark are broadcast up to ``BROADCAST_ROWS``; beyond it they are joined by a shuffle
-(adaptive execution splits hot hashes). Null texts have no words. Repeated documents each get their row;
-identical rows share one computation. Rows of an item that has no words match nothing; null item ids count
-for hits, but are not listed among the items. An item id on several rows is one item.
+texts that share L words in a row share the fingerprint of those words: no shared span is missed. Neighbouring
+windows mostly keep the same hash, and such a run is one row (about 2 / (L - k + 2) of the words, and fewer where a
+text repeats itself). Rows are joined with the distinct hashes of the benchmark. A row that meets one is extended:
+each span of words that its windows cover is compared with the spans of the items, word for word, so hits are exact
+whatever the hashes do. Rows grow with the length of the texts, never with the product of a text and an item.
+
+The hashes of the benchmark are broadcast up to ``BROADCAST_ROWS``: then one pass over the documents tokenises them and
+hands on their numbers of words and the words around hits, nothing else. Beyond it the rows are joined by a shuffle
+(adaptive execution splits hot hashes) and the documents that are hit are read again.
+
+Null and empty texts have no words; very long texts are taken whole. Repeated documents each get their row; identical
+rows share one computation. Rows of an item that has no words match nothing; null item ids count for hits, but are not
+listed among the items. An item id on several rows is one item. Without documents there is no row, without items no hit.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +26,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import saved
+from .common import discard, only, saved, without
 
 WINDOW = 13
-#: fingerprints of the benchmark that are broadcast at most (about 40 bytes each)
+#: hashes or spans of the benchmark that are broadcast at most (up to about 150 bytes each)
 BROADCAST_ROWS = 500_000
+#: windows that a row of equal neighbouring hashes stands for at most
+RUN = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,104 +58,150 @@ def _sliding(df: DataFrame, name: str, length: Column, n: int, join: Callable[[C
     return df, length
 
 
+def marks(df: DataFrame, span: int, name: str) -> DataFrame:
+    """Adds array ``name`` to (…, words): for each window of ``span`` words its smallest k-gram hash."""
+    k = (span + 1) // 2
+    df = df.withColumn(name, F.transform("words", lambda w: F.xxhash64(w)))
+    df, left = _sliding(df, name, F.size("words"), k, lambda a, b: F.xxhash64(a, b))
+    df, _ = _sliding(df, name, left, span - k + 1, lambda a, b: F.least(a, b))
+    return df
+
+
 def fingerprints(df: DataFrame, spans: list[int]) -> DataFrame:
-    """From (…, words) one row for each window: (…, span, at, mark)."""
-    keys = [c for c in df.columns if c != "words"]
-    df = df.withColumn("_n", F.size("words")).withColumn("_h", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
+    """(…, words) with one row for each run of windows that keep the same hash: (…, words, n_words, span, at, mark).
+
+    ``at`` is the first window of the run. Each input row has, besides, one row without mark.
+    """
+    keys = df.columns
+    parts = []
     for span in spans:
-        k = (span + 1) // 2
-        df = df.withColumn(f"_m{span}", F.col("_h"))
-        df, left = _sliding(df, f"_m{span}", F.col("_n"), k, lambda a, b: F.xxhash64(a, b))
-        df, _ = _sliding(df, f"_m{span}", left, span - k + 1, lambda a, b: F.least(a, b))
+        df = marks(df, span, f"_m{span}")
+        before = F.concat(F.array(F.lit(None).cast("long")), F.col(f"_m{span}"))
+        first = F.zip_with(f"_m{span}", before, lambda a, b: F.when(~a.eqNullSafe(b), a))
+        df = df.withColumn(f"_f{span}", first)
+        parts.append(F.struct(F.lit(span).alias("span"), F.col(f"_f{span}").alias("first"), F.col(f"_m{span}").alias("all")))
+    df = df.withColumn("n_words", F.size("words").cast("long"))
     if len(spans) == 1:
-        marks = df.select(*keys, F.lit(spans[0]).alias("span"), F.col(f"_m{spans[0]}").alias("marks"))
+        one = df.select(*keys, "n_words", F.lit(spans[0]).alias("span"), F.col(f"_f{spans[0]}").alias("first"), F.col(f"_m{spans[0]}").alias("all"))
     else:
-        each = F.array(*(F.struct(F.lit(s).alias("span"), F.col(f"_m{s}").alias("marks")) for s in spans))
-        marks = df.select(*keys, F.inline_outer(each))
+        one = df.select(*keys, "n_words", F.inline_outer(F.array(*parts)))
     # the outer form: a plain explode makes Catalyst infer a filter that computes all the arrays a second time
-    return marks.select(*keys, "span", F.posexplode_outer("marks").alias("at", "mark")).where(F.col("mark").isNotNull())
+    rows = one.select(*keys, "n_words", "span", "all", F.posexplode_outer("first").alias("at", "mark"))
+    rows = rows.withColumn("mark", F.when((F.col("at") % RUN == 0) & F.col("mark").isNull(), F.get("all", F.col("at"))).otherwise(F.col("mark")))
+    head = (F.col("span") == spans[0]) & F.coalesce(F.col("at") == 0, F.lit(True))
+    return rows.drop("all").withColumn("head", head).where("head or mark is not null")
 
 
-def matched(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, th, hits): diagonals on which a fingerprint of a document meets one of an item.
-
-    ``docs`` has doc_id, th and words; ``items`` the saved item, item_id, span and words.
-    """
-    spans = sorted(r[0] for r in items.select("span").distinct().collect())  # WINDOW values at most
-    if not spans:
-        return docs.select("doc_id", "th", F.array().cast("array<struct<item_id:string,item_words:array<string>,diagonal:int>>").alias("hits")).limit(0)
-    own = reduce(DataFrame.unionByName, (fingerprints(items.where(F.col("span") == s).select("item", "words"), [s]) for s in spans))
-    own = own.withColumnRenamed("at", "item_at")
-    small = own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    met = fingerprints(docs.select("doc_id", "th", "words"), spans).join(F.broadcast(own) if small else own, ["span", "mark"])
-    diagonals = met.select("doc_id", "th", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    texts = items.select("item", "item_id", F.col("words").alias("item_words"))
-    return (
-        diagonals.join(F.broadcast(texts) if small else texts, "item")
-        .groupBy("doc_id", "th")
-        .agg(F.collect_list(F.struct("item_id", "item_words", "diagonal")).alias("hits"))
-    )
+def windows(df: DataFrame) -> DataFrame:
+    """(…, start, span, content) of every span of words in ``near``, of which the first starts at ``at``."""
+    keys = [c for c in df.columns if c not in ("near", "at", "span")]
+    each = df.select(*keys, "at", "span", "near", F.explode(F.sequence(F.lit(0), F.size("near") - F.col("span"))).alias("o"))
+    content = F.array_join(F.slice("near", F.col("o") + 1, F.col("span")), " ")
+    return each.select(*keys, (F.col("at") + F.col("o")).alias("start"), "span", content.alias("content"))
 
 
-def _extended(df: DataFrame) -> DataFrame:
-    """Adds n_hit, n_items and items to (words, hits): each diagonal is compared word by word."""
+def _near(words: Column) -> Column:
+    return F.slice(words, F.col("at") + 1, F.col("span") + (RUN - 1))
 
-    def compared(h: Column) -> Column:
-        same = F.transform(
-            h["item_words"], lambda w, j: F.when(F.get(F.col("words"), h["diagonal"] + j) == w, F.lit("1")).otherwise(F.lit("0"))
-        )
-        span = F.least(F.size(h["item_words"]), F.lit(WINDOW))
-        return F.struct(h["item_id"].alias("item_id"), h["diagonal"].alias("diagonal"), span.alias("span"), F.array_join(same, "").alias("same"))
 
-    def starts(h: Column) -> Column:
-        at = F.filter(
-            F.sequence(F.lit(0), F.length(h["same"]) - h["span"]),
-            lambda k: h["same"].substr(k + 1, h["span"]) == F.repeat(F.lit("1"), h["span"]),
-        )
-        return F.struct(h["item_id"].alias("item_id"), h["diagonal"].alias("diagonal"), h["span"].alias("span"), at.alias("starts"))
+def _small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-    def covered(h: Column) -> Column:
-        return F.flatten(F.transform(h["starts"], lambda k: F.sequence(h["diagonal"] + k, h["diagonal"] + k + h["span"] - 1)))
 
-    df = df.withColumn("hits", F.transform("hits", compared))
-    df = df.withColumn("hits", F.filter(F.transform("hits", starts), lambda h: F.size(h["starts"]) > 0))
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda h: h["item_id"]), lambda i: i.isNotNull())))
-    places = F.array_distinct(F.flatten(F.transform("hits", covered)))
-    none = F.array().cast("array<string>")
-    return df.withColumns(
-        {"n_hit": F.coalesce(F.size(places), F.lit(0)).cast("long"), "items": F.coalesce(ids, none)}
-    ).drop("hits")
+def touched(docs: DataFrame, own: DataFrame, spans: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n_words) of every document; (doc_id, th, at, span, near) of the runs whose hash is in ``own``."""
+    key = ["span", "mark"]
+    if _small(own):
+        known = F.broadcast(own.withColumn("met", F.lit(True)))
+        rows = fingerprints(docs, spans).join(known, key, "left").where("head or met")
+        near = F.when(F.col("met"), _near(F.col("words")))
+        rows = saved(rows.select("doc_id", "th", "n_words", "head", "at", "span", near.alias("near")), "runs")
+        return rows.where("head").select("doc_id", "th", "n_words"), rows.where("near is not null").drop("head", "n_words")
+    heads = docs.select("doc_id", "th", F.size("words").cast("long").alias("n_words"))
+    rows = fingerprints(docs, spans).select("doc_id", "th", "span", "at", "mark").where("mark is not null")
+    hits = saved(rows.join(own, key, "left_semi").select("doc_id", "th", "span", "at").distinct(), "runs")
+    texts = only(docs.select("doc_id", "th", "words"), hits.select("doc_id", "th")).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    both = hits.join(texts, hits["doc_id"].eqNullSafe(texts["_id"]) & (hits["th"] == texts["_th"]))
+    return heads, both.select("doc_id", "th", "at", "span", _near(F.col("words")).alias("near"))
 
 
 def prepared(benchmark: DataFrame) -> DataFrame:
-    """The saved items that have words, with a number of their own."""
+    """The saved items that have words: (item_id, span, words)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words("text").alias("words"))
     items = items.where(F.size("words") > 0).withColumn("span", F.least(F.size("words"), F.lit(WINDOW)))
-    return saved(items.distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+    return saved(items.distinct(), "items")
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, how: str = "left") -> DataFrame:
-    """One row per document: doc_id, th (hash of the text), n_words, n_hit, items, contaminated.
+def matched(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n_words) of every document of (doc_id, th, words); (doc_id, th, n_hit, items, full) of those hit.
 
-    With ``how="inner"`` only documents that a fingerprint hits (all others are not contaminated).
+    full: whether a window of WINDOW words is hit, not only short items.
     """
-    docs = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), words("text").alias("words")
+    spans = sorted(r[0] for r in items.select("span").distinct().collect())  # WINDOW values at most
+    if not spans:
+        heads = docs.select("doc_id", "th", F.size("words").cast("long").alias("n_words"))
+        none = heads.limit(0).select("doc_id", "th", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("full"))
+        return heads, none
+    own = reduce(
+        DataFrame.unionByName,
+        (marks(items.where(F.col("span") == s), s, "m").select("span", F.explode_outer("m").alias("mark")) for s in spans),
+    )
+    own = saved(own.distinct(), "marks")
+    owners = saved(windows(items.select("item_id", F.lit(0).alias("at"), "span", F.col("words").alias("near"))).drop("start").distinct(), "owners")
+    contents = saved(owners.select("span", "content").distinct(), "contents")
+    heads, runs = touched(docs, own, spans)
+    found = windows(runs).distinct()
+    found = saved(found.join(F.broadcast(contents) if _small(contents) else contents, ["span", "content"], "left_semi"), "found")
+    earlier = Window.partitionBy("doc_id", "th").orderBy("start", "span").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("start") + F.col("span")
+    covered = found.select("doc_id", "th", "start", "span").distinct().withColumn("done", F.coalesce(F.max(end).over(earlier), F.lit(0)))
+    hit = covered.groupBy("doc_id", "th").agg(
+        F.sum(F.greatest(end - F.greatest("start", "done"), F.lit(0))).cast("long").alias("n_hit"), F.max(F.col("span") == WINDOW).alias("full")
     )
-    hits = matched(docs, prepared(benchmark)).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    both = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_id"]) & (docs["th"] == hits["_th"]), how)
-    out = _extended(both.select("doc_id", "th", "words", "hits"))
-    n_words = F.size("words").cast("long")
-    return out.select(
+    named = found.select("doc_id", "th", "span", "content").distinct().join(owners.where("item_id is not null"), ["span", "content"])
+    named = named.select("doc_id", "th", "item_id").distinct().groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    named = named.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    hit = saved(hit.join(named, hit["doc_id"].eqNullSafe(named["_id"]) & (hit["th"] == named["_th"]), "left").select("doc_id", "th", "n_hit", "items", "full"), "hits")
+    discard(own, owners, contents, found)
+    return heads, hit
+
+
+def _docs(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), words("text").alias("words"))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, how: str = "left") -> DataFrame:
+    """One row per document: doc_id, th (hash of the text), n_words, n_hit, items, full, contaminated.
+
+    With ``how="inner"`` only documents that are hit (all others are not contaminated).
+    """
+    items = prepared(benchmark)
+    heads, hit = matched(_docs(documents), items)
+    discard(items)
+    hit = hit.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    both = heads.join(hit, heads["doc_id"].eqNullSafe(hit["_id"]) & (heads["th"] == hit["_th"]), how)
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return both.select(
         "doc_id",
         "th",
-        n_words.alias("n_words"),
-        "n_hit",
-        "items",
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= n_words)).alias("contaminated"),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("full", F.lit(False)).alias("full"),
+        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
     )
 
 
+def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without those that share WINDOW words in a row with an item, however long they are.
+
+    Items of fewer words are weak evidence (one of them may be a single word): their hits drop a document where they
+    make up a twentieth of its words.
+    """
+    found = contamination(documents, benchmark, how="inner")
+    return without(documents, found.where("full or contaminated").select("doc_id", "th"))
+
+
 def judged(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contamination(documents, benchmark)
     return found.select(
