@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which
 is written as Parquet and read again. Toxic documents go; one document of each group of near-duplicates (word
-5-grams, similarity of 0.8 or more) stays; contaminated documents go; personal data is replaced by its kind;
+5-grams, similarity of 0.8 or more) stays; documents that share 13 words in a row with a benchmark item go, however long
+they are; personal data is replaced by its kind;
 the last stage encodes the texts and returns, beside the columns, n_tokens, ids and the text decoded from them
 (columns of these names are replaced). Each stage is right for null ids and texts as its operator's module says;
 a null text is neither toxic nor contaminated nor anyone's copy.
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontam, neardup, pii
 from millrace.llm import toxicity as tox
-from millrace.llm.common import saved, table, unused, without
+from millrace.llm.common import saved, table, unused
 from millrace.llm.queries import TOKENIZERS
 
 
@@ -30,8 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), how="inner")
-    return without(docs, found.where("contaminated").select("doc_id", "th"))
+    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
