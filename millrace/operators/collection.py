@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..types import checked, collection_of
+from .python_tier import emitted
 
 KEY, VALUE = "key", "value"
 
@@ -63,23 +64,7 @@ class _Bag:
         return flatten(self, *others)
 
     def _do(self, fn: Callable, schema: T.StructType, table: bool) -> DataFrame:
-        names = self.columns
-
-        def run(batches):
-            import pyarrow as pa
-            from pyspark.sql.pandas.types import to_arrow_schema
-
-            arrow = to_arrow_schema(schema)
-            for batch in batches:
-                out: list = []
-                for args in zip(*(batch[c].to_pylist() for c in names)):
-                    out.extend(fn(*args))
-                cols = list(zip(*out)) if table else [out]
-                if not out:
-                    cols = [[] for _ in schema.fields]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
-
-        return self.df.mapInArrow(run, schema)
+        return emitted(self.df, self.columns, fn, schema, table)
 
 
 def _exploded(df: DataFrame, arrays: Column, name: str) -> DataFrame:

@@ -7,13 +7,12 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions.combiners import REGISTRY, Combiner
 from .collection import KEY, VALUE, Table
-
-#: keys that a task of an opaque fold holds before it hands its partial results on
-HELD_KEYS = 100_000
+from .python_tier import batches_of, by_name, folded_in_task, pairs_in, streamed
 
 
 def _ordering(order: Iterable[Column | str]) -> list[Column]:
@@ -75,8 +74,9 @@ class Grouped:
         """Folds the values of each key with an associative function.
 
         A ``Combiner`` (or its name) becomes a Catalyst aggregate with a partial phase. A Python function from
-        an iterable of values to one value of the same type is folded in two phases over Arrow batches: within
-        each task, then over the partial results of a key. It is called at least once for every key.
+        a list of values to one value of the same type is folded in two phases over Arrow batches: within
+        each task, some thousand values at a time, then over the partial results of a key. It is called at least once for
+        every key.
         """
         if isinstance(combiner, str):
             combiner = REGISTRY[combiner]()
@@ -95,46 +95,13 @@ class Grouped:
 
     def _folded(self, fn: Callable[[Iterable], object]) -> Table:
         schema = self.df.schema
-        nested = isinstance(schema[KEY].dataType, (T.StructType, T.ArrayType, T.MapType))
-
-        def hashable(k):
-            if isinstance(k, dict):
-                return tuple((n, hashable(x)) for n, x in k.items())
-            if isinstance(k, list):
-                return tuple(map(hashable, k))
-            return "nan" if k != k else k
-
-        def partial(batches):
-            import pyarrow as pa
-            from pyspark.sql.pandas.types import to_arrow_schema
-
-            arrow = to_arrow_schema(schema)
-            held: dict = {}
-
-            def out():
-                keys, values = zip(*((k, fn([v])) for k, v in held.values()))
-                return pa.RecordBatch.from_arrays([pa.array(keys, type=arrow[0].type), pa.array(values, type=arrow[1].type)], schema=arrow)
-
-            for batch in batches:
-                for k, v in zip(batch[KEY].to_pylist(), batch[VALUE].to_pylist()):
-                    name = hashable(k) if nested or isinstance(k, float) else k
-                    if name in held:
-                        held[name] = (k, fn([held[name][1], v]))
-                    else:
-                        held[name] = (k, fn([v]))
-                    if len(held) >= HELD_KEYS:
-                        yield out()
-                        held = {}
-            if held:
-                yield out()
-
-        def final(table):
-            import pyarrow as pa
-
-            value = fn(table[VALUE].to_pylist())
-            return pa.Table.from_arrays([table[KEY].slice(0, 1), pa.array([value], type=table.schema.field(VALUE).type)], schema=table.schema)
-
-        return self._table(self.df.mapInArrow(partial, schema).groupBy(KEY).applyInArrow(final, schema))
+        arrow, named = to_arrow_schema(schema), by_name(schema)
+        partial = self.df.mapInArrow(lambda batches: batches_of(folded_in_task(fn, pairs_in(batches), named), arrow), schema)
+        return self._table(streamed(partial, lambda k, values: [(k, fn(list(values)))], schema))
+
+    def reduce(self, fn: Callable[[object, Iterable], Iterable[tuple]], schema: T.StructType) -> Table:
+        """Python tier: all pairs that ``fn(key, values)`` yields; ``values`` is an iterator, so groups may be of any size."""
+        return self._table(streamed(self.df, fn, schema))
 
     def apply(self, fn: Callable, schema: T.StructType) -> Table:
         """Python tier: ``fn(pandas frame of one key)`` returns a frame of keys and values. A group must fit memory."""

@@ -14,7 +14,7 @@ from millrace.operators.map_reduce import MapReduce
 from millrace.plans.inspect import operators, plan_text
 from millrace.plans.pipeline import Pipeline
 
-LINES = ["is is", "some simple text", "To test text processing with some simple", "examples is some simple"]
+LINES = ["the mill turns", "the water runs the mill", "Mill stones grind grain", "grain grain"]
 INT_PAIRS = kinds.table_of(kinds.integers(), kinds.integers())
 
 
@@ -38,7 +38,7 @@ def bag(c):
 def test_word_count(p):
     words = p.from_rows(LINES, kinds.strings()).flat_map(split_words)
     counted = dict(words.map_pairs(lambda w: (w, F.lit(1))).group_by_key().combine("total").collect())
-    assert counted == {"is": 3, "some": 3, "simple": 3, "text": 2, "examples": 1, "To": 1, "test": 1, "processing": 1, "with": 1}
+    assert counted == {"the": 3, "mill": 2, "turns": 1, "water": 1, "runs": 1, "Mill": 1, "stones": 1, "grind": 1, "grain": 3}
     assert dict(words.count().collect()) == counted
 
 
@@ -106,14 +106,14 @@ def test_empty_inputs(p):
 
 def test_ordered_groups(p):
     schema = kinds.table_of(kinds.strings(), kinds.pairs_of(kinds.strings(), kinds.strings()))
-    log = [("ted", ("2010-02-13", "c")), ("rahul", ("2010-02-12", "e")), ("ted", ("2010-01-01", "a")), ("rahul", ("2010-02-10", "d")), ("ted", ("2010-02-11", "b"))]
+    log = [("north", ("09:40", "c")), ("south", ("08:30", "e")), ("north", ("07:05", "a")), ("south", ("08:10", "d")), ("north", ("08:55", "b"))]
     g = p.from_pairs(log, schema).group_by_key()
     times = {k: [x.key for x in v] for k, v in g.sorted_values("value.key").collect()}
-    assert times == {"ted": ["2010-01-01", "2010-02-11", "2010-02-13"], "rahul": ["2010-02-10", "2010-02-12"]}
-    assert {k: v.value for k, v in g.first("value.key").collect()} == {"ted": "a", "rahul": "d"}
-    assert {k: v.value for k, v in g.last("value.key").collect()} == {"ted": "c", "rahul": "e"}
-    assert [(k, v.value) for k, v in g.sorted_rows("value.key", global_order=True).collect()] == [("rahul", "d"), ("rahul", "e"), ("ted", "a"), ("ted", "b"), ("ted", "c")]
-    assert Counter(k for k, _ in g.top(2, "value.key").collect()) == Counter(ted=2, rahul=2)
+    assert times == {"north": ["07:05", "08:55", "09:40"], "south": ["08:10", "08:30"]}
+    assert {k: v.value for k, v in g.first("value.key").collect()} == {"north": "a", "south": "d"}
+    assert {k: v.value for k, v in g.last("value.key").collect()} == {"north": "c", "south": "e"}
+    assert [(k, v.value) for k, v in g.sorted_rows("value.key", global_order=True).collect()] == [("north", "a"), ("north", "b"), ("north", "c"), ("south", "d"), ("south", "e")]
+    assert Counter(k for k, _ in g.top(2, "value.key").collect()) == Counter(north=2, south=2)
     assert "WindowGroupLimit" in plan_text(g.top(2, "value.key").df)
 
 
@@ -185,6 +185,48 @@ def test_map_reduce(p):
     assert sorted(v for _, v in plus.run(pairs(p, (9, 1), (9, 2), (8, 3), (7, 4))).collect()) == [2, 3, 4, 5]
 
 
+def test_reducers_stream_their_groups(p, spark):
+    """Any group size, any amount left unread, nulls and NaN as keys."""
+    schema = kinds.table_of(kinds.doubles(), kinds.longs())
+    pairs_ = [(math.nan, 1), (None, 2), (0.0, 3), (-0.0, 4), (None, 5), (math.nan, 6), (1.5, 7)]
+    t = p.from_pairs(pairs_, schema)
+    got = {str(k): v for k, v in t.group_by_key().reduce(lambda k, vs: [(k, sum(vs))], schema).collect()}
+    assert {k.replace("-0.0", "0.0"): v for k, v in got.items()} == {"nan": 7, "None": 7, "0.0": 7, "1.5": 7}
+    big = p.table(spark.range(300_000).selectExpr("if(id % 3 = 0, id % 50, -1L) as k", "id as v"))
+    longs = kinds.table_of(kinds.longs(), kinds.longs())
+    n = dict(big.group_by_key().reduce(lambda k, vs: [(k, sum(1 for _ in vs))], longs).collect())
+    assert n[-1] == 200_000 and sum(n.values()) == 300_000
+    first = big.group_by_key().reduce(lambda k, vs: [(k, int(next(vs) >= 0))], longs).collect()
+    assert Counter(first) == Counter((k, 1) for k in n)
+    assert big.group_by_key().reduce(lambda k, vs: [], longs).collect() == []
+    many = big.group_by_key().reduce(lambda k, vs: ((k, v) for v in vs), longs)
+    assert many.df.count() == 300_000
+
+
+def test_folds_are_batched(p, spark):
+    """One call folds many values of a key."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(values):
+        calls.add(1)
+        return sum(values)
+
+    t = p.table(spark.range(50_000).selectExpr("id % 5 as k", "1L as v"))
+    assert dict(t.group_by_key().combine(counted).collect()) == dict.fromkeys(range(5), 10_000)
+    assert calls.value < 1000
+
+
+def test_apply(p):
+    import pandas as pd
+
+    t = pairs(p, (1, 2), (1, 5), (2, 7))
+    total = t.group_by_key().apply(lambda f: pd.DataFrame({"key": f["key"].head(1), "value": f["value"].sum()}), INT_PAIRS)
+    assert dict(total.collect()) == {1: 7, 2: 7}
+    sizes = lambda a, b: pd.DataFrame({"key": [max(a["key"].max(), b["key"].max()) if len(a) and len(b) else (a if len(a) else b)["key"].iloc[0]], "value": [len(a) * 10 + len(b)]})
+    assert dict(t.join(pairs(p, (2, 0), (3, 0))).apply(sizes, INT_PAIRS).collect()) == {1: 20, 2: 11, 3: 1}
+    assert dict(t.group_by_key().combine(combiners.joined_text("-")).collect()) == {1: "2-5", 2: "7"}
+
+
 def test_hot_key(p, spark):
     t = p.table(spark.range(100_000).selectExpr("if(id % 10 = 0, id, -1L) as k", "1L as v"))
     assert dict(t.group_by_key().combine(sum).collect())[-1] == 90_000
