@@ -1,12 +1,16 @@
 """Avro container files as a Python data source: ``spark.read.format("millrace_avro").load(path)``.
 
 Files are read in ranges: a range starts at the first sync marker after its offset, so large files are shared
-out over tasks. Codecs: null and deflate. Each task writes one file under a temporary name; the commit renames
-them. Any file system of pyarrow serves.
+out over tasks. Codecs: null and deflate. Named types, enums, fixed, logical types (dates, timestamps, decimals) and
+unions are read and written. A reader schema (option ``reader``) projects, promotes and fills in defaults while decoding; files
+of other schemas in the folder are resolved to it, or to the schema of the first file. Each task writes one file under a
+temporary name; the commit renames them, and only then removes what an overwrite replaces. Any file system of pyarrow serves.
 """
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import io
 import json
 import struct
@@ -19,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..types import from_avro, to_avro
+from ..types import from_avro, linked, members, to_avro
 
 MAGIC = b"Obj\x01"
 RANGE = 64 << 20
@@ -35,17 +39,40 @@ def _long(out: bytearray, n: int) -> None:
     out.append(n)
 
 
+_EPOCH = datetime.datetime(1970, 1, 1)
+
+
+def _logical(schema: dict, value):
+    """The plain number or bytes of a date, time or decimal."""
+    logical = schema["logicalType"]
+    if isinstance(value, datetime.datetime):
+        micros = (value.replace(tzinfo=None) - (value.utcoffset() or datetime.timedelta()) - _EPOCH) // datetime.timedelta(microseconds=1)
+        return micros // 1000 if logical.endswith("millis") else micros
+    if isinstance(value, datetime.date):
+        return value.toordinal() - _EPOCH.toordinal()
+    if isinstance(value, decimal.Decimal):
+        with decimal.localcontext(prec=60):
+            n = int(value.scaleb(schema.get("scale", 0)))
+        return n.to_bytes(schema.get("size", (n.bit_length() + 8) // 8), "big", signed=True)
+    return value
+
+
 def encode(schema, value, out: bytearray) -> None:
-    """Appends ``value`` in Avro binary form."""
+    """Appends ``value`` in Avro binary form (``schema`` is linked)."""
     if isinstance(schema, list):
-        rest = [s for s in schema if s != "null"]
         if value is None:
             _long(out, schema.index("null"))
-        else:
-            _long(out, schema.index(rest[0]))
-            encode(rest[0], value, out)
+            return
+        rest = members(schema)
+        k = 0
+        if len(rest) > 1:
+            k, value = next((i, x) for i, x in enumerate(value.values()) if x is not None)
+        _long(out, schema.index(rest[k]))
+        encode(rest[k], value, out)
         return
     kind = schema["type"] if isinstance(schema, dict) else schema
+    if isinstance(schema, dict) and "logicalType" in schema:
+        value = _logical(schema, value)
     if kind == "null":
         return
     if kind == "boolean":
@@ -60,6 +87,12 @@ def encode(schema, value, out: bytearray) -> None:
         raw = value.encode("utf-8") if isinstance(value, str) else bytes(value)
         _long(out, len(raw))
         out += raw
+    elif kind == "enum":
+        _long(out, schema["symbols"].index(value))
+    elif kind == "fixed":
+        if len(value) != schema["size"]:
+            raise ValueError(f"{schema['name']} has {schema['size']} bytes, not {len(value)}")
+        out += bytes(value)
     elif kind == "record":
         for f in schema["fields"]:
             encode(f["type"], value[f["name"]], out)
@@ -138,6 +171,131 @@ class Decoder:
         return self.value(kind)
 
 
+#: fixed values: what the rules of schema resolution let a reader take for a written type
+_PROMOTED = {"int": ("long", "float", "double"), "long": ("float", "double"), "float": ("double",), "string": ("bytes",), "bytes": ("string",)}
+
+
+def _kind(schema) -> str:
+    return schema["type"] if isinstance(schema, dict) else "union" if isinstance(schema, list) else schema
+
+
+def _matches(w, r) -> bool:
+    a, b = _kind(w), _kind(r)
+    if a in ("enum", "fixed", "record") and a == b:
+        return w["name"].rpartition(".")[2] == r["name"].rpartition(".")[2] or a == "record"
+    return a == b or b in _PROMOTED.get(a, ())
+
+
+def _default(value, r):
+    """The default of a field, which a schema gives as JSON."""
+    if isinstance(r, list):
+        if value is None:
+            return None
+        rest = members(r)
+        got = _default(value, rest[0])
+        return got if len(rest) == 1 else {f"member{i}": got if i == 0 else None for i in range(len(rest))}
+    kind = _kind(r)
+    if kind in ("bytes", "fixed"):
+        return value.encode("latin-1")
+    if kind == "record":
+        return {f["name"]: _default(value[f["name"]] if f["name"] in value else f["default"], f["type"]) for f in r["fields"]}
+    if kind == "array":
+        return [_default(x, r["items"]) for x in value]
+    if kind == "map":
+        return [(k, _default(x, r["values"])) for k, x in value.items()]
+    return value
+
+
+def reading(w, r):
+    """A function from a Decoder at a value of schema ``w`` to that value as schema ``r`` has it (both linked)."""
+    if isinstance(w, list):
+        branches = []
+        for b in w:
+            try:
+                branches.append(reading(b, r))
+            except TypeError as e:  # an error only for values of this branch
+
+                def fail(d, e=e):
+                    raise e
+
+                branches.append(fail)
+        return lambda d: branches[d.long()](d)
+    if isinstance(r, list):
+        if w == "null" and "null" in r:
+            return lambda d: None
+        rest = members(r)
+        k = next((i for i, b in enumerate(rest) if _kind(b) == _kind(w) and _matches(w, b)), None)
+        k = next((i for i, b in enumerate(rest) if _matches(w, b)), None) if k is None else k
+        if k is None:
+            raise TypeError(f"{_kind(w)} is none of {[_kind(b) for b in rest]}")
+        one = reading(w, rest[k])
+        if len(rest) == 1:
+            return one
+        none = {f"member{i}": None for i in range(len(rest))}
+        return lambda d: {**none, f"member{k}": one(d)}
+    a, b = _kind(w), _kind(r)
+    if not _matches(w, r):
+        raise TypeError(f"{a} cannot be read as {b}")
+    if a == "record":
+        return _record(w, r)
+    if a == "array":
+        item = reading(w["items"], r["items"])
+        return lambda d: [item(d) for _ in d._blocks()]
+    if a == "map":
+        value = reading(w["values"], r["values"])
+        return lambda d: [(d.take(d.long()).decode("utf-8"), value(d)) for _ in d._blocks()]
+    if a == "enum":
+        known = [s if s in r["symbols"] else r.get("default") for s in w["symbols"]]
+        return lambda d: known[d.long()]
+    if a == "fixed" and w["size"] != r["size"]:
+        raise TypeError(f"{w['name']} has {w['size']} bytes, not {r['size']}")
+    logical = r.get("logicalType") if isinstance(r, dict) else None
+    if logical == "decimal":
+        scale = r.get("scale", 0)
+        size = (lambda d: w["size"]) if a == "fixed" else (lambda d: d.long())
+
+        def number(d):
+            with decimal.localcontext(prec=60):
+                return decimal.Decimal(int.from_bytes(d.take(size(d)), "big", signed=True)).scaleb(-scale)
+
+        return number
+    if logical in ("timestamp-millis", "local-timestamp-millis"):
+        return lambda d: d.long() * 1000
+    if b in ("float", "double") and a in ("int", "long"):
+        return lambda d: float(d.long())
+    if b == "string" and a == "bytes":
+        return lambda d: d.take(d.long()).decode("utf-8")
+    if b == "bytes" and a == "string":
+        return lambda d: d.take(d.long())
+    return lambda d: d.value(w)
+
+
+def _record(w, r):
+    steps, taken = [], set()
+    by_name = {n: f for f in r["fields"] for n in (*f.get("aliases", ()), f["name"])}
+    for f in w["fields"]:
+        target = by_name.get(f["name"])
+        if target is None:
+            steps.append((None, reading(f["type"], f["type"])))
+        else:
+            steps.append((target["name"], reading(f["type"], target["type"])))
+            taken.add(target["name"])
+    missing = [f for f in r["fields"] if f["name"] not in taken]
+    if bare := [f["name"] for f in missing if "default" not in f]:
+        raise TypeError(f"{bare} are not in the file and have no default")
+    defaults = {f["name"]: _default(f["default"], f["type"]) for f in missing}
+
+    def value(d):
+        out = dict(defaults)
+        for name, step in steps:
+            x = step(d)
+            if name is not None:
+                out[name] = x
+        return out
+
+    return value
+
+
 def header(schema, codec: str, sync: bytes) -> bytes:
     out = bytearray(MAGIC)
     encode({"type": "map", "values": "bytes"}, {"avro.schema": json.dumps(schema), "avro.codec": codec}, out)
@@ -191,9 +349,12 @@ def _stream_long(stream) -> int | None:
         shift += 7
 
 
-def blocks(stream, start: int, end: int):
-    """(rows, schema) of the blocks whose sync marker in front lies in [start, end)."""
+def blocks(stream, start: int, end: int, reader=None):
+    """(rows, schema) of the blocks whose sync marker in front lies in [start, end), resolved to ``reader`` if it is given."""
     schema, codec, sync, first = read_header(stream)
+    written = linked(schema)
+    schema = written if reader is None else linked(reader)
+    one = reading(written, schema)
     if start <= first:
         at = first
     else:
@@ -224,7 +385,7 @@ def blocks(stream, start: int, end: int):
         elif codec != "null":
             raise ValueError(f"codec {codec} is not supported")
         d = Decoder(raw)
-        yield [d.value(schema) for _ in range(n)], schema
+        yield [one(d) for _ in range(n)], schema
 
 
 def _file_system(uri: str):
@@ -246,8 +407,8 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType, size: int):
-        self.path, self.schema, self.size = path, schema, size
+    def __init__(self, path: str, schema: T.StructType, size: int, avro):
+        self.path, self.schema, self.size, self.avro = path, schema, size, avro
 
     def partitions(self):
         _, files = _files(self.path)
@@ -259,7 +420,7 @@ class _Reader(DataSourceReader):
         fs, _ = _file_system(part.uri)
         arrow = to_arrow_schema(self.schema)
         with fs.open_input_file(part.path) as stream:
-            for rows, schema in blocks(stream, part.start, part.end):
+            for rows, schema in blocks(stream, part.start, part.end, self.avro):
                 if isinstance(schema, dict) and schema["type"] == "record":
                     columns = [pa.array([r.get(f.name) for r in rows], type=f.type) for f in arrow]
                 else:
@@ -273,8 +434,8 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, schema: T.StructType, codec: str, overwrite: bool, bare: bool):
-        self.path, self.codec, self.overwrite, self.bare = path, codec, overwrite, bare
+    def __init__(self, path: str, schema: T.StructType, codec: str, overwrite: bool, bare: bool, avro=None):
+        self.path, self.codec, self.overwrite, self.bare, self.avro = path, codec, overwrite, bare, avro
         self.schema = schema
         self.run = uuid.uuid4().hex
         fs, at = _file_system(path)
@@ -286,9 +447,10 @@ class _Writer(DataSourceArrowWriter):
         fs.create_dir(f"{at}/_temporary-{self.run}", recursive=True)
         name = f"part-{uuid.uuid4().hex}.avro"
         kind = self.schema.fields[0].dataType if self.bare else self.schema
-        schema, sync = to_avro(kind, nullable=self.bare and self.schema.fields[0].nullable), uuid.uuid4().bytes
+        shown, sync = self.avro or to_avro(kind, nullable=self.bare and self.schema.fields[0].nullable), uuid.uuid4().bytes
+        schema = linked(shown)
         with fs.open_output_stream(f"{at}/_temporary-{self.run}/{name}", compression=None) as out:
-            out.write(header(schema, self.codec, sync))
+            out.write(header(shown, self.codec, sync))
             for batch in iterator:
                 rows = batch.column(0).to_pylist() if self.bare else batch.to_pylist()
                 for k in range(0, len(rows), ROWS_IN_BLOCK):
@@ -297,12 +459,12 @@ class _Writer(DataSourceArrowWriter):
 
     def commit(self, messages):
         fs, at = _file_system(self.path)
-        if self.overwrite:
-            for f in _files(self.path)[1]:
-                fs.delete_file(f.path)
+        old = _files(self.path)[1] if self.overwrite else []
         for m in messages:
             if m is not None:
                 fs.move(f"{at}/_temporary-{self.run}/{m.name}", f"{at}/{m.name}")
+        for f in old:
+            fs.delete_file(f.path)
         if fs.get_file_info(f"{at}/_temporary-{self.run}").type != pafs.FileType.NotFound:
             fs.delete_dir(f"{at}/_temporary-{self.run}")
 
@@ -313,32 +475,40 @@ class _Writer(DataSourceArrowWriter):
 
 
 class AvroSource(DataSource):
-    """Options: ``path``, ``codec`` (deflate or null), ``bare`` (write the only column without a record), ``range`` (bytes)."""
+    """Options: ``path``, ``codec`` (deflate or null), ``bare`` (write the only column without a record), ``range`` (bytes),
+    ``reader`` and ``writer`` (Avro schemas as JSON)."""
 
     @classmethod
     def name(cls) -> str:
         return "millrace_avro"
 
-    def schema(self) -> T.StructType:
+    def _avro(self):
+        """The reader schema: as given, else that of the first file."""
+        if "reader" in self.options:
+            return json.loads(self.options["reader"])
         fs, files = _files(self.options["path"])
         if not files:
             raise FileNotFoundError(self.options["path"])
         with fs.open_input_file(files[0].path) as stream:
-            kind = from_avro(read_header(stream)[0])
-        return kind if isinstance(kind, T.StructType) else T.StructType([T.StructField("value", kind)])
+            return read_header(stream)[0]
+
+    def schema(self) -> T.StructType:
+        avro = self._avro()
+        kind = from_avro(avro)
+        return kind if _kind(linked(avro)) == "record" else T.StructType([T.StructField("value", kind)])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], schema, int(self.options.get("range", RANGE)))
+        return _Reader(self.options["path"], schema, int(self.options.get("range", RANGE)), self._avro())
 
     def writer(self, schema: T.StructType, overwrite: bool):
         bare = self.options.get("bare", "false") == "true"
-        return _Writer(self.options["path"], schema, self.options.get("codec", "deflate"), overwrite, bare)
+        return _Writer(self.options["path"], schema, self.options.get("codec", "deflate"), overwrite, bare, json.loads(self.options.get("writer", "null")))
 
 
 def dumps(rows: list, schema, codec: str = "null", sync: bytes = b"0123456789abcdef") -> bytes:
     """A whole container file in memory, for tests and small files."""
-    return header(schema, codec, sync) + (block(rows, schema, codec, sync) if rows else b"")
+    return header(schema, codec, sync) + (block(rows, linked(schema), codec, sync) if rows else b"")
 
 
-def loads(raw: bytes) -> list:
-    return [r for rows, _ in blocks(io.BytesIO(raw), 0, len(raw)) for r in rows]
+def loads(raw: bytes, reader=None) -> list:
+    return [r for rows, _ in blocks(io.BytesIO(raw), 0, len(raw), reader) for r in rows]

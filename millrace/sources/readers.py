@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import importlib.resources
+import json
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import first_tab
 from ..operators.collection import Collection, Table
-from ..types import checked, collection_of
+from ..types import checked, collection_of, to_avro
 from .avro import AvroSource
 
 
@@ -27,9 +29,14 @@ def text_with_origin(spark: SparkSession, *paths: str) -> Table:
 
 
 def resource_file(spark: SparkSession, package: str, name: str) -> Collection:
-    """Lines of a text file that is part of a Python package."""
-    lines = importlib.resources.files(package).joinpath(name).read_text(encoding="utf-8").splitlines()
-    return from_rows(spark, lines, T.StringType())
+    """Lines of a text file that is part of a Python package; they end with \\n, \\r or both, and with nothing else."""
+    raw = importlib.resources.files(package).joinpath(name).read_bytes().decode("utf-8")
+    return from_rows(spark, lines_of(raw), T.StringType())
+
+
+def lines_of(text: str) -> list[str]:
+    lines = re.split(r"\r\n|\n|\r", text)
+    return lines if lines[-1] else lines[:-1]
 
 
 def tab_pairs(spark: SparkSession, path: str) -> Table:
@@ -43,11 +50,21 @@ def sequence_file(spark: SparkSession, path: str, schema: T.StructType) -> Table
     return Table(spark.createDataFrame(spark.sparkContext.sequenceFile(path), schema))
 
 
-def avro_file(spark: SparkSession, path: str, schema: T.DataType | None = None):
-    """A collection of the records or bare values of Avro files; with the columns key and value, a table."""
+def avro_file(spark: SparkSession, path: str, schema: T.DataType | dict | list | str | None = None):
+    """A collection of the records or bare values of Avro files; with the columns key and value, a table.
+
+    ``schema`` is a reader schema: a Spark type, or an Avro schema as Python objects. Each file is resolved to it by the
+    rules of Avro: fields by name (or alias), missing ones by their default (null for a nullable Spark field), int to long,
+    float or double, string to bytes and back. Without it the schema is that of the first file, to which others are resolved.
+    """
     spark.dataSource.register(AvroSource)
-    df = spark.read.format("millrace_avro").load(path)
-    return _bag(df, schema)
+    reader = spark.read.format("millrace_avro")
+    if schema is not None:
+        if isinstance(schema, T.DataType):
+            record = isinstance(schema, T.StructType)
+            schema = to_avro(schema, nullable=not record)
+        reader = reader.option("reader", json.dumps(schema))
+    return _bag(reader.load(path), None)
 
 
 def parquet(spark: SparkSession, path: str, schema: T.DataType | None = None):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators.collection import Collection, Table
@@ -9,9 +11,17 @@ from .avro import AvroSource
 
 
 def text(bag, path: str, mode: str = "errorifexists") -> None:
-    """Lines of a collection, or key, tab and value of a table. Nulls are written as empty text."""
-    show = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    line = F.concat_ws("\t", show("key"), show("value")) if isinstance(bag, Table) else show("value")
+    """Lines of a collection, or key, tab and value of a table. Nulls are written as empty text.
+
+    A line break in a text, or a tab in a key, would be read back as something else and fails the job.
+    """
+
+    def show(c: str, breaks: str):
+        text = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        no = F.raise_error(F.concat(F.lit(f"a {c} has a line break or a tab: "), text)).cast("string")
+        return F.when(F.translate(text, breaks, "") == text, text).otherwise(no)
+
+    line = F.concat_ws("\t", show("key", "\n\r\t"), show("value", "\n\r")) if isinstance(bag, Table) else show("value", "\n\r")
     bag.df.select(line.alias("value")).write.mode(mode).text(path)
 
 
@@ -20,8 +30,8 @@ def sequence_file(table: Table, path: str) -> None:
     table.df.rdd.map(lambda r: (r[0], r[1])).saveAsSequenceFile(path)
 
 
-def avro(bag, path: str, mode: str = "append", codec: str = "deflate") -> None:
-    """Structs and tables as records, other collections as bare values."""
+def avro(bag, path: str, mode: str = "append", codec: str = "deflate", schema: dict | list | str | None = None) -> None:
+    """Structs and tables as records, other collections as bare values; ``schema`` is an Avro schema to write (enums, fixed …)."""
     spark = bag.df.sparkSession
     spark.dataSource.register(AvroSource)
     df, bare = bag.df, False
@@ -30,7 +40,10 @@ def avro(bag, path: str, mode: str = "append", codec: str = "deflate") -> None:
             df = df.select("value.*")
         else:
             bare = True
-    df.write.format("millrace_avro").mode(mode).option("codec", codec).option("bare", str(bare).lower()).save(path)
+    writer = df.write.format("millrace_avro").mode(mode).option("codec", codec).option("bare", str(bare).lower())
+    if schema is not None:
+        writer = writer.option("writer", json.dumps(schema))
+    writer.save(path)
 
 
 def parquet(bag, path: str, mode: str = "errorifexists") -> None:

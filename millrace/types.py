@@ -104,6 +104,16 @@ _PRIMITIVE = {
 }
 
 
+#: fixed values: logical types of Avro
+_LOGICAL = {
+    ("int", "date"): T.DateType(),
+    ("long", "timestamp-micros"): T.TimestampType(),
+    ("long", "timestamp-millis"): T.TimestampType(),
+    ("long", "local-timestamp-micros"): T.TimestampNTZType(),
+    ("long", "local-timestamp-millis"): T.TimestampNTZType(),
+}
+
+
 def to_avro(kind: T.DataType, nullable: bool = True, name: str = "Row") -> object:
     """The Avro schema of a Spark type. Nullable types become unions with null."""
     schema: object
@@ -117,44 +127,105 @@ def to_avro(kind: T.DataType, nullable: bool = True, name: str = "Row") -> objec
         schema = {"type": "array", "items": to_avro(kind.elementType, kind.containsNull, f"{name}_item")}
     elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
         schema = {"type": "map", "values": to_avro(kind.valueType, kind.valueContainsNull, f"{name}_value")}
+    elif isinstance(kind, T.DecimalType):
+        schema = {"type": "bytes", "logicalType": "decimal", "precision": kind.precision, "scale": kind.scale}
+    elif isinstance(kind, (T.ByteType, T.ShortType)):
+        schema = "int"
     else:
         for text, primitive in _PRIMITIVE.items():
             if primitive == kind:
                 schema = text
                 break
         else:
-            raise TypeError(f"no Avro type for {kind.simpleString()}")
+            for (base, logical), spark_type in _LOGICAL.items():
+                if spark_type == kind:
+                    schema = {"type": base, "logicalType": logical}
+                    break
+            else:
+                raise TypeError(f"no Avro type for {kind.simpleString()}")
     return ["null", schema] if nullable else schema
 
 
+def linked(schema: object, names: dict | None = None, space: str = "") -> object:
+    """An Avro schema in which references to named types are the types themselves."""
+    names = {} if names is None else names
+    if isinstance(schema, list):
+        return [linked(s, names, space) for s in schema]
+    if isinstance(schema, str):
+        if schema in _PRIMITIVE or schema == "null":
+            return schema
+        for full in (f"{space}.{schema}", schema):
+            if full in names:
+                return names[full]
+        raise TypeError(f"unknown Avro type {schema}")
+    kind = schema["type"]
+    if isinstance(kind, (dict, list)):
+        return linked(kind, names, space)
+    if kind in ("record", "error", "enum", "fixed"):
+        space = schema.get("namespace", schema["name"].rpartition(".")[0] or space)
+        name = schema["name"].rpartition(".")[2]
+        out = names[f"{space}.{name}" if space else name] = dict(schema)
+        if kind in ("record", "error"):
+            out["type"] = "record"
+            out["fields"] = [{**f, "type": linked(f["type"], names, space)} for f in schema["fields"]]
+        return out
+    if kind == "array":
+        return {**schema, "items": linked(schema["items"], names, space)}
+    if kind == "map":
+        return {**schema, "values": linked(schema["values"], names, space)}
+    return schema if kind in _PRIMITIVE or kind == "null" else linked(kind, names, space)
+
+
+def members(union: list) -> list:
+    """The types of a union besides null; numbers of several widths count as the widest."""
+    rest = [s for s in union if s != "null"]
+    for wide, narrow in (("long", "int"), ("double", "float")):
+        if len(rest) == 2 and set(map(str, rest)) == {wide, narrow}:
+            return [wide]
+    return rest
+
+
 def from_avro(schema: object) -> T.DataType:
-    """The Spark type of an Avro schema (unions: null and one other type)."""
+    """The Spark type of an Avro schema. A union of several types becomes a struct of member0, member1 …, one of them set."""
+    return _from_linked(linked(schema), ())
+
+
+def _from_linked(schema: object, above: tuple) -> T.DataType:
     if isinstance(schema, list):
-        rest = [s for s in schema if s != "null"]
-        if len(rest) != 1:
-            raise TypeError(f"a union of {len(rest)} types")
-        return from_avro(rest[0])
+        rest = members(schema)
+        if not rest:
+            raise TypeError("a union of null alone")
+        if len(rest) == 1:
+            return _from_linked(rest[0], above)
+        return T.StructType([T.StructField(f"member{i}", _from_linked(r, above)) for i, r in enumerate(rest)])
     if isinstance(schema, str):
         if schema not in _PRIMITIVE:
-            raise TypeError(f"unknown Avro type {schema}")
+            raise TypeError(f"no Spark type for Avro's {schema}")
         return _PRIMITIVE[schema]
     kind = schema["type"]
+    logical = schema.get("logicalType")
+    if logical == "decimal":
+        return T.DecimalType(schema["precision"], schema.get("scale", 0))
+    if (kind, logical) in _LOGICAL:
+        return _LOGICAL[kind, logical]
+    if any(schema is s for s in above):
+        raise TypeError(f"{schema['name']} contains itself")
     if kind == "record":
         return T.StructType(
             [
-                T.StructField(f["name"], from_avro(f["type"]), isinstance(f["type"], list) and "null" in f["type"])
+                T.StructField(f["name"], _from_linked(f["type"], (*above, schema)), isinstance(f["type"], list) and "null" in f["type"])
                 for f in schema["fields"]
             ]
         )
     if kind == "array":
-        return T.ArrayType(from_avro(schema["items"]))
+        return T.ArrayType(_from_linked(schema["items"], above))
     if kind == "map":
-        return T.MapType(T.StringType(), from_avro(schema["values"]))
+        return T.MapType(T.StringType(), _from_linked(schema["values"], above))
     if kind == "enum":
         return T.StringType()
     if kind == "fixed":
         return T.BinaryType()
-    return from_avro(kind)
+    return _PRIMITIVE[kind]
 
 
 def checked(df, schema: T.StructType | T.DataType | None):
