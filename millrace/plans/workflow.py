@@ -1,7 +1,8 @@
 """Named workflows with several inputs and outputs.
 
 ``run`` computes what several outputs share once, runs independent outputs at the same time and publishes all
-outputs or none: each is written to a staging folder, and only when all have succeeded are they renamed.
+outputs or none: all are written to one staging folder. Where the target doesn't exist yet this folder is renamed as a
+whole; else its outputs are renamed one by one, and those already renamed are taken back if one fails.
 """
 
 from __future__ import annotations
@@ -41,6 +42,24 @@ def shared_parents(outputs: list) -> list:
     return [b for k, b in nodes.items() if uses[k] > 1 and b.opaque]
 
 
+def publish(fs, at, staging: str, path: str, names: list[str]) -> None:
+    """Moves all folders of ``staging`` to ``path``, or none."""
+    if not fs.exists(at(path)):
+        if not fs.rename(at(staging), at(path)):
+            raise OSError(f"{path} could not be renamed")
+        return
+    done: list[str] = []
+    try:
+        for n in names:
+            if not fs.rename(at(f"{staging}/{n}"), at(f"{path}/{n}")):
+                raise OSError(f"{n} could not be renamed")
+            done.append(n)
+    except BaseException:
+        for n in done:
+            fs.rename(at(f"{path}/{n}"), at(f"{staging}/{n}"))
+        raise
+
+
 class Workflow:
     """Subclass it and give ``build``, which calls ``input`` and ``output``."""
 
@@ -95,7 +114,8 @@ class Workflow:
         taken = [n for n in self.outputs if fs.exists(at(f"{path}/{n}"))]
         if taken:
             raise FileExistsError(f"{path} already has {taken}")
-        staging = f"{path}/_staging-{uuid.uuid4().hex}"
+        path = path.rstrip("/")
+        staging = f"{path}-staging-{uuid.uuid4().hex}"
         kept = shared_parents(list(self.outputs.values()))
         for b in kept:
             b.df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -103,9 +123,7 @@ class Workflow:
             with ThreadPoolExecutor(parallel) as pool:
                 for job in [pool.submit(writer, b, f"{staging}/{n}") for n, b in self.outputs.items()]:
                     job.result()
-            for n in self.outputs:
-                if not fs.rename(at(f"{staging}/{n}"), at(f"{path}/{n}")):
-                    raise OSError(f"{n} could not be renamed")
+            publish(fs, at, staging, path, list(self.outputs))
         finally:
             for b in kept:
                 b.df.unpersist()

@@ -1,7 +1,6 @@
 """Files written and read back; Avro encoding; workflows; streams."""
 
 import dataclasses
-import math
 from collections import Counter
 
 import pytest
@@ -12,7 +11,7 @@ from pyspark.sql import types as T
 from millrace import types as kinds
 from millrace.operators.collection import Collection, Table
 from millrace.plans.pipeline import Pipeline
-from millrace.plans.workflow import Workflow, shared_parents
+from millrace.plans.workflow import Workflow, publish, shared_parents
 from millrace.sources import avro, readers, sinks
 from millrace.streaming import streams
 
@@ -96,9 +95,9 @@ def test_avro_files(spark, at):
     numbers = p.from_rows([float(3 * k) for k in range(10)], kinds.doubles())
     p.write_avro_file(at("doubles"), numbers)
     assert sorted(p.read_avro_file(at("doubles")).collect()) == [3.0 * k for k in range(10)]
-    words = p.from_rows(["is is", None, "some simple text"], kinds.strings())
+    words = p.from_rows(["to and fro", None, "a b"], kinds.strings())
     p.write_avro_file(at("words"), words)
-    assert Counter(p.read_avro_file(at("words"), kinds.strings()).collect()) == Counter(["is is", None, "some simple text"])
+    assert Counter(p.read_avro_file(at("words"), kinds.strings()).collect()) == Counter(["to and fro", None, "a b"])
     records = Collection(spark.range(5000).select(F.struct(F.col("id"), F.col("id").cast("string").alias("t"), F.array("id").alias("a")).alias("value")))
     sinks.avro(records, at("records"))
     assert p.read_avro_file(at("records")).df.select("value.*").orderBy("id").first() == Row(id=0, t="0", a=[0])
@@ -123,10 +122,90 @@ def test_types():
     assert kind.simpleString() == "struct<name:string,at:bigint,score:double,tags:array<string>>"
     for t in (kind, kinds.pairs_of(kinds.strings(), kinds.byte_strings()), kinds.lists_of(kinds.floats()), T.MapType(T.StringType(), T.IntegerType())):
         assert kinds.from_avro(kinds.to_avro(t)).simpleString() == t.simpleString()
+    for t in (T.DateType(), T.TimestampType(), T.TimestampNTZType(), T.DecimalType(12, 3)):
+        assert kinds.from_avro(kinds.to_avro(t)) == t
+    assert kinds.from_avro(["int", "null", "long"]) == T.LongType() and kinds.from_avro(["float", "double"]) == T.DoubleType()
+    assert kinds.from_avro(["int", "string"]).simpleString() == "struct<member0:int,member1:string>"
     with pytest.raises(TypeError):
-        kinds.to_avro(T.DateType())
+        kinds.to_avro(T.DayTimeIntervalType())
     with pytest.raises(TypeError):
-        kinds.from_avro(["int", "string"])
+        kinds.from_avro({"type": "record", "name": "N", "fields": [{"name": "next", "type": ["null", "N"]}]})
+    with pytest.raises(TypeError):
+        kinds.from_avro("Unknown")
+
+
+WIDE = {
+    "type": "record",
+    "name": "W",
+    "namespace": "n",
+    "fields": [
+        {"name": "e", "type": {"type": "enum", "name": "E", "symbols": ["A", "B"]}},
+        {"name": "again", "type": "E"},
+        {"name": "x", "type": {"type": "fixed", "name": "X", "size": 2}},
+        {"name": "u", "type": ["null", "int", "string"]},
+        {"name": "day", "type": {"type": "int", "logicalType": "date"}},
+        {"name": "at", "type": {"type": "long", "logicalType": "timestamp-micros"}},
+        {"name": "price", "type": {"type": "bytes", "logicalType": "decimal", "precision": 20, "scale": 2}},
+    ],
+}
+
+
+def test_avro_named_and_logical_types(spark, at):
+    p = Pipeline(spark)
+    kind = kinds.from_avro(WIDE)
+    rows = spark.sql(
+        "select 'A' as e, 'B' as again, X'0102' as x, named_struct('member0', cast(null as int), 'member1', 't') as u, date'1969-12-31' as day, "
+        "timestamp'2020-02-02 03:04:05.678901' as at, cast(-1234567890123.45 as decimal(20, 2)) as price "
+        "union all select 'B', 'A', X'ffff', null, date'2024-01-01', timestamp'1960-01-01 00:00:00', cast(0 as decimal(20, 2))"
+    )
+    sinks.avro(Collection(rows.select(F.struct("*").alias("value"))), at("wide"), schema=WIDE)
+    back = p.read_avro_file(at("wide")).df.select("value.*")
+    assert back.schema.simpleString() == kind.simpleString()
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+    with pytest.raises(Exception):
+        sinks.avro(Collection(rows.select(F.struct(F.lit("C").alias("e")).alias("value"))), at("bad"), schema={"type": "record", "name": "R", "fields": WIDE["fields"][:1]})
+
+
+def test_avro_reader_schemas(spark, at, tmp_path):
+    """Fields are taken by name, numbers are widened, what a file lacks has its default; files may differ."""
+    p = Pipeline(spark)
+    one = Collection(spark.range(3).select(F.struct(F.col("id").cast("int").alias("a"), F.lit("x").alias("b"), F.array("id").alias("c")).alias("value")))
+    two = Collection(spark.range(3, 5).select(F.struct((F.col("id") * 2**40).alias("a"), F.lit(1.5).alias("d")).alias("value")))
+    sinks.avro(one, at("mixed"))
+    sinks.avro(two, at("other"))
+    for f in (tmp_path / "other").glob("*.avro"):
+        f.rename(tmp_path / "mixed" / f.name)
+    kind = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("a", T.LongType())])
+    got = Counter(tuple(r) for r in p.read_avro_file(at("mixed"), kind).collect())
+    assert got == Counter([(None, 0), (None, 1), (None, 2), (1.5, 3 * 2**40), (1.5, 4 * 2**40)])
+    schema = {"type": "record", "name": "R", "fields": [{"name": "number", "aliases": ["a"], "type": ["null", "double"]}, {"name": "b", "type": "string", "default": "none"}, {"name": "r", "type": "bytes", "default": "\u00ff"}]}
+    got = Counter((r.number, r.b, bytes(r.r)) for r in p.read_avro_file(at("mixed"), schema).collect())
+    assert got == Counter([(float(k), "x", b"\xff") for k in range(3)] + [(float(k * 2**40), "none", b"\xff") for k in (3, 4)])
+    with pytest.raises(Exception):
+        p.read_avro_file(at("mixed"), {"type": "record", "name": "R", "fields": [{"name": "a", "type": "string"}]}).collect()
+    with pytest.raises(Exception):
+        p.read_avro_file(at("mixed"), {"type": "record", "name": "R", "fields": [{"name": "new", "type": "string"}]}).collect()
+
+
+def test_avro_overwrite_replaces(spark, at):
+    p = Pipeline(spark)
+    sinks.avro(p.from_rows([1, 2], kinds.longs()), at("numbers"))
+    sinks.avro(p.from_rows([3], kinds.longs()), at("numbers"), mode="overwrite")
+    assert p.read_avro_file(at("numbers")).collect() == [3]
+
+
+@pytest.mark.parametrize("text", ["a\nb", "a\rb"])
+def test_text_that_would_not_come_back_fails(spark, at, text):
+    p = Pipeline(spark)
+    with pytest.raises(Exception, match="line break"):
+        sinks.text(p.from_rows([text], kinds.strings()), at("lines"))
+    with pytest.raises(Exception, match="a key has"):
+        sinks.text(p.from_pairs([("a\tb", "c")], kinds.table_of(kinds.strings(), kinds.strings())), at("pairs"))
+
+
+def test_lines_of_resources():
+    assert readers.lines_of("a\nb\r\nc\rd\u2028e\x0bf\x85g\x0c\n\nh") == ["a", "b", "c", "d\u2028e\x0bf\x85g\x0c", "", "h"]
+    assert readers.lines_of("a\n") == ["a"] and readers.lines_of("") == [] and readers.lines_of("\n") == [""]
 
 
 class Two(Workflow):
@@ -150,7 +229,40 @@ def test_workflow_publishes_all_or_nothing(spark, at, tmp_path):
     bad.broken = True
     with pytest.raises(Exception):
         bad.run(at("bad"))
-    assert not (tmp_path / "bad" / "twice").exists() and not list((tmp_path / "bad").glob("_staging*"))
+    assert not (tmp_path / "bad").exists() and not list(tmp_path.glob("*staging*"))
+
+
+def test_failed_publishing_takes_back(tmp_path):
+    """Where the second of two renames fails, the first is undone."""
+    import shutil
+
+    class Disk:
+        def exists(self, p):
+            return p.exists()
+
+        def rename(self, a, b):
+            if b.name == "two" and b.parent.name == "out":
+                return False
+            shutil.move(a, b)
+            return True
+
+    for n in ("one", "two"):
+        (tmp_path / "stage" / n).mkdir(parents=True)
+    (tmp_path / "out").mkdir()
+    import pathlib
+
+    with pytest.raises(OSError):
+        publish(Disk(), pathlib.Path, f"{tmp_path}/stage", f"{tmp_path}/out", ["one", "two"])
+    assert sorted(x.name for x in (tmp_path / "stage").iterdir()) == ["one", "two"] and not list((tmp_path / "out").iterdir())
+    publish(Disk(), pathlib.Path, f"{tmp_path}/stage", f"{tmp_path}/new", ["one", "two"])
+    assert sorted(x.name for x in (tmp_path / "new").iterdir()) == ["one", "two"]
+
+
+def test_workflow_adds_to_a_folder(spark, at, tmp_path):
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "other").mkdir()
+    where = Two(spark).run(at("out"))
+    assert spark.read.parquet(where["twice"]).count() == 2 and not list(tmp_path.glob("*staging*"))
 
 
 def test_workflow_needs_inputs_and_outputs(spark):
@@ -175,4 +287,3 @@ def test_streams(spark, at):
     streams.to_memory(out, "windows", "append")
     got = {(r.key.start.minute, r.key.key): r.value for r in spark.table("windows").collect()}
     assert got == {(0, "x"): 1, (1, "x"): 2}
-    assert not math.isnan(1)
