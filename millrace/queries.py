@@ -5,23 +5,22 @@ Input and output formats are exercised by writing to the shared folder of the se
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import types as kinds
 from .functions import combiners
 from .functions.text import characters, field, first_tab, solid_length, split_keep_empty, split_words, stamped
 from .operators.collection import Collection, Table, flatten
 from .operators.map_reduce import MapReduce
+from .plans.inspect import operators
 from .plans.pipeline import Pipeline
 from .plans.shared import combined
 from .plans.workflow import Workflow
 from .sources import readers, sinks
+from .sources.shared import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,14 +50,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, key, value) -> Table:
     return Table(read(spark, sf_dir, name).select(key.alias("key"), value.alias("value")))
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/millrace/{uuid.uuid4().hex}/{name}"
-
-
 # ------------------------------------------------------------------ words
 
 
@@ -79,29 +70,29 @@ def split_keep_empty_parts(spark, sf_dir):
 
 
 @query("""
-select w as key, cast(count(*) as bigint) as value from (select unnest(regexp_split_to_array(text, '\\s+')) as w from benchmark) where w <> '' group by w
+select w as key, cast(count(*) as bigint) as value from (select unnest(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+')) as w from documents) where w <> '' group by w
 """)
 def wordcount_python_tier(spark, sf_dir):
-    words = collection(spark, sf_dir, "benchmark", "text").parallel_do(lambda t: t.split() if t else (), kinds.strings())
+    words = collection(spark, sf_dir, "documents", "text").parallel_do(lambda t: (w.decode() for w in t.encode().split()) if t else (), kinds.strings())
     return words.count().df
 
 
 @query("""
-select c as key, count(*) as value from (select unnest(string_split(replace(replace(text, ' ', ''), chr(10), ''), '')) as c from benchmark) where c <> '' group by c
+select c as key, count(*) as value from (select unnest(string_split(regexp_replace(text, '\\s', '', 'g'), '')) as c from documents) where c <> '' group by c
 """)
 def char_count(spark, sf_dir):
-    letters = collection(spark, sf_dir, "benchmark", "text").map(lambda t: F.regexp_replace(t, r"\s", "")).flat_map(characters)
+    letters = collection(spark, sf_dir, "documents", "text").map(lambda t: F.regexp_replace(t, r"\s", "")).flat_map(characters)
     return letters.count().df
 
 
-@query("select length(regexp_replace(text, '\\s', '', 'g')) as key, count(*) as value from benchmark group by 1")
+@query("select length(regexp_replace(text, '\\s', '', 'g')) as key, count(*) as value from documents group by 1")
 def line_length_hist(spark, sf_dir):
-    return collection(spark, sf_dir, "benchmark", "text").map(solid_length).count().df
+    return collection(spark, sf_dir, "documents", "text").map(solid_length).count().df
 
 
-@query("select len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as key, count(*) as value from benchmark group by 1")
+@query("select len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as key, count(*) as value from documents group by 1")
 def token_count_hist(spark, sf_dir):
-    return collection(spark, sf_dir, "benchmark", "text").map(lambda t: F.size(split_words(t))).count().df
+    return collection(spark, sf_dir, "documents", "text").map(lambda t: F.size(split_words(t))).count().df
 
 
 # ------------------------------------------------------------------ element-wise
@@ -132,16 +123,17 @@ def python_emit_any_number(spark, sf_dir):
     return keys.parallel_do(lambda k: [k, k] if k % 3 == 0 else [], kinds.longs()).df
 
 
-@query("select n_nationkey as key, n_nationkey * 2 as value from nation union all select n_nationkey, n_nationkey * 3 from nation")
+@query("select l_orderkey as key, l_partkey * 2 as value from lineitem union all select l_orderkey, l_partkey * 3 from lineitem")
 def flatmap_two_pairs(spark, sf_dir):
-    return collection(spark, sf_dir, "nation", "n_nationkey").flat_map_pairs(lambda v: [(v, v * 2), (v, v * 3)]).df
+    t = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey")
+    return t.flat_map_pairs(lambda k, v: [(k, v * 2), (k, v * 3)]).df
 
 
-@query("select n_nationkey + 1 as plus, (n_nationkey + 1) * 2 as twice, n_name || '-blah' as tag, '2010/09/13' as day from nation")
+@query("select o_orderkey + 1 as plus, (o_orderkey + 1) * 2 as twice, o_orderstatus || '-blah' as tag, '2010/09/13' as day from orders")
 def map_chain(spark, sf_dir):
-    rows = collection(spark, sf_dir, "nation", F.struct("n_nationkey", "n_name"))
+    rows = collection(spark, sf_dir, "orders", F.struct("o_orderkey", "o_orderstatus"))
     day = stamped(F.lit("2010-09-13").cast("date"))
-    plus = rows.map(lambda v: F.struct((v["n_nationkey"] + 1).alias("plus"), v["n_name"].alias("name")))
+    plus = rows.map(lambda v: F.struct((v["o_orderkey"] + 1).alias("plus"), v["o_orderstatus"].alias("name")))
     return plus.map(lambda v: F.struct(v["plus"].alias("plus"), (v["plus"] * 2).alias("twice"), F.concat(v["name"], F.lit("-blah")).alias("tag"), day.alias("day"))).df.select("value.*")
 
 
@@ -154,10 +146,10 @@ def distinct_elements(spark, sf_dir):
 # ------------------------------------------------------------------ grouping
 
 
-@query("select n_regionkey as key, string_agg(n_name, ',' order by n_name) as value from nation group by n_regionkey")
+@query("select o_custkey as key, string_agg(o_orderkey, ',' order by o_orderkey) as value from orders group by o_custkey")
 def group_by_key_values(spark, sf_dir):
-    grouped = table(spark, sf_dir, "nation", "n_regionkey", "n_name").group_by_key().values()
-    return grouped.map_pairs(lambda k, v: (k, F.array_join(F.array_sort(v), ","))).df
+    grouped = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey").group_by_key().values()
+    return grouped.map_pairs(lambda k, v: (k, F.array_join(F.array_sort(v).cast("array<string>"), ","))).df
 
 
 @query("select c_nationkey as key, string_agg(c_name, ',' order by c_acctbal desc, c_name) as value from customer group by c_nationkey")
@@ -355,11 +347,11 @@ def cogroup_sizes(spark, sf_dir):
 
 
 @query("""
-with a as (select n_regionkey as k, string_agg(n_name, ',' order by n_name) as t from nation group by 1), b as (select r_regionkey + 2 as k, string_agg(r_name, ',' order by r_name) as t from region group by 1)
+with a as (select c_custkey % 500 as k, string_agg(c_name, ',' order by c_name) as t from customer group by 1), b as (select s_suppkey % 700 as k, string_agg(s_name, ',' order by s_name) as t from supplier group by 1)
 select coalesce(a.k, b.k) as key, coalesce(a.t, '') as left_t, coalesce(b.t, '') as right_t from a full join b on a.k = b.k
 """)
 def cogroup_values(spark, sf_dir):
-    a, b = table(spark, sf_dir, "nation", "n_regionkey", "n_name"), table(spark, sf_dir, "region", F.col("r_regionkey") + 2, "r_name")
+    a, b = table(spark, sf_dir, "customer", F.col("c_custkey") % 500, "c_name"), table(spark, sf_dir, "supplier", F.col("s_suppkey") % 700, "s_name")
     show = lambda c: F.array_join(F.array_sort(F.col(f"value.{c}")), ",").alias(f"{c}_t")
     return a.join(b).values().df.select("key", show("left"), show("right"))
 
@@ -452,15 +444,87 @@ def toy_map_reduce(spark, sf_dir):
     return MapReduce().map(lambda k, v: [(k, v)], schema).combine(sum).reduce(lambda k, vs: [(k, sum(vs))], schema).run(t).df
 
 
-@query("select n_regionkey as key, n_nationkey + 1 as value from nation")
+@query("select l_orderkey as key, l_partkey + 1 as value from lineitem")
 def toy_map_only(spark, sf_dir):
-    schema = kinds.table_of(kinds.integers(), kinds.integers())
-    return MapReduce().map(lambda k, v: [(k, v + 1)], schema).run(table(spark, sf_dir, "nation", "n_regionkey", "n_nationkey")).df
+    schema = kinds.table_of(kinds.longs(), kinds.longs())
+    return MapReduce().map(lambda k, v: [(k, v + 1)], schema).run(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey")).df
+
+
+@query("select l_returnflag as key, cast(sum(l_linenumber) as bigint) as value from lineitem group by 1")
+def toy_reduce_uncombined(spark, sf_dir):
+    """A third of the rows has one key: the reducer reads each group as a stream."""
+    t = table(spark, sf_dir, "lineitem", "l_returnflag", F.col("l_linenumber").cast("bigint"))
+    schema = kinds.table_of(kinds.strings(), kinds.longs())
+    return MapReduce().map(lambda k, v: [(k, v)], schema).reduce(lambda k, vs: [(k, sum(vs))], schema).run(t).df
+
+
+@query("select n_name as key, cast(1 << n_nationkey as bigint) as value from nation where n_nationkey < 15")
+def toy_reduce_powers(spark, sf_dir):
+    """The k-th name stands 2^k times under other keys and is counted without a combiner."""
+    nations = table(spark, sf_dir, "nation", "n_nationkey", "n_name").filter(lambda k, v: k < 15)
+    copies = nations.flat_map(lambda k, v: F.array_repeat(v, F.pow(F.lit(2), k).cast("int")))
+    schema = kinds.table_of(kinds.strings(), kinds.longs())
+    job = MapReduce().map(lambda k, v: [(v, 1)], schema).reduce(lambda k, vs: [(k, sum(vs))], schema)
+    return job.run(copies.map_pairs(lambda v: (F.length(v), v))).df
+
+
+@query("""
+select o_custkey as key, o_orderkey as value from orders qualify row_number() over (partition by o_custkey order by o_orderkey) <= 2
+""")
+def grouped_python_reduce(spark, sf_dir):
+    """A reducer may leave the rest of a group unread."""
+    g = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey")
+    least = g.group_by_key().sorted_values().map_pairs(lambda k, v: (k, F.slice(v, 1, 3)))
+    pairs = least.flat_map_pairs(lambda k, v: [(k, F.get(v, i)) for i in range(3)]).filter(lambda k, v: v.isNotNull())
+
+    def two(key, values):
+        return [(key, v) for v in sorted(values)[:2]]
+
+    return pairs.group_by_key().reduce(two, kinds.table_of(kinds.longs(), kinds.longs())).df
+
+
+@query("select o_custkey as key, round(max(o_totalprice) - min(o_totalprice), 2) as value from orders group by o_custkey")
+def grouped_apply(spark, sf_dir):
+    def spread(frame):
+        import pandas as pd
+
+        return pd.DataFrame({"key": frame["key"].head(1), "value": round(frame["value"].max() - frame["value"].min(), 2)})
+
+    return table(spark, sf_dir, "orders", "o_custkey", "o_totalprice").group_by_key().apply(spread, kinds.table_of(kinds.longs(), kinds.doubles())).df
+
+
+@query("""
+with a as (select c_nationkey as k, count(*) as n from customer group by 1), b as (select s_nationkey as k, count(*) as n from supplier group by 1)
+select coalesce(a.k, b.k) as key, coalesce(a.n, 0) * 1000 + coalesce(b.n, 0) as value from a full join b on a.k = b.k
+""")
+def cogrouped_apply(spark, sf_dir):
+    def sizes(left, right):
+        import pandas as pd
+
+        key = left["key"].iloc[0] if len(left) else right["key"].iloc[0]
+        return pd.DataFrame({"key": [key], "value": [len(left) * 1000 + len(right)]})
+
+    a, b = table(spark, sf_dir, "customer", "c_nationkey", "c_custkey"), table(spark, sf_dir, "supplier", "s_nationkey", "s_suppkey")
+    return a.join(b).apply(sizes, kinds.table_of(kinds.integers(), kinds.longs())).df
+
+
+@query("select user_id as key, arg_min(event_type, (ts, event_id)) as first_type, arg_max(event_type, (ts, event_id)) as last_type from events group by user_id")
+def group_first_last(spark, sf_dir):
+    g = table(spark, sf_dir, "events", "user_id", F.struct("ts", "event_id", "event_type")).group_by_key()
+    order = ("value.ts", "value.event_id")
+    both = g.first(*order).join(g.last(*order)).inner().df
+    return both.select("key", F.col("value.left.event_type").alias("first_type"), F.col("value.right.event_type").alias("last_type"))
+
+
+@query("select o_custkey as key, string_agg(distinct o_orderpriority, ';' order by o_orderpriority) as value from orders group by o_custkey")
+def combine_joined_text(spark, sf_dir):
+    t = table(spark, sf_dir, "orders", "o_custkey", "o_orderpriority").distinct()
+    return t.group_by_key().combine(combiners.joined_text(";")).df
 
 
 @query("select c_custkey as key, c_name as value from customer")
 def seqfile_roundtrip(spark, sf_dir):
-    path = folder(spark, "pairs.seq")
+    path = scratch(spark, "pairs.seq")
     t = table(spark, sf_dir, "customer", "c_custkey", "c_name")
     sinks.sequence_file(t, path)
     return readers.sequence_file(spark, path, t.schema).df
@@ -468,18 +532,108 @@ def seqfile_roundtrip(spark, sf_dir):
 
 @query("select s_suppkey, s_name, s_nationkey, s_acctbal from supplier")
 def avro_roundtrip(spark, sf_dir):
-    path = folder(spark, "suppliers.avro")
+    path = scratch(spark, "suppliers.avro")
     sinks.avro(Collection(read(spark, sf_dir, "supplier").select(F.struct("*").alias("value"))), path)
     return readers.avro_file(spark, path).df.select("value.*")
 
 
 @query("select event_type as key, cast(user_id as varchar) as value from events")
 def text_roundtrip(spark, sf_dir):
-    path = folder(spark, "events.txt")
+    path = scratch(spark, "events.txt")
     sinks.text(table(spark, sf_dir, "events", "event_type", "user_id"), path)
     return readers.declared(spark, path, kinds.table_of(kinds.strings(), kinds.strings())).df
 
 
+@query("select o_orderkey || ' ' || o_orderpriority as value from orders union all select '' from region")
+def text_lines(spark, sf_dir):
+    path = scratch(spark, "lines.txt")
+    lines = collection(spark, sf_dir, "orders", F.concat_ws(" ", F.col("o_orderkey").cast("string"), "o_orderpriority"))
+    sinks.text(flatten(lines, collection(spark, sf_dir, "region", F.lit(""))), path)
+    return Pipeline(spark).read_text_file(path).df
+
+
+@query("select 'customers' as origin, c_name as value from customer union all select 'suppliers', s_name from supplier")
+def text_of_several_inputs(spark, sf_dir):
+    at = {n: scratch(spark, n) for n in ("customers", "suppliers")}
+    sinks.text(collection(spark, sf_dir, "customer", "c_name"), at["customers"])
+    sinks.text(collection(spark, sf_dir, "supplier", "s_name"), at["suppliers"])
+    lines = readers.text_with_origin(spark, *at.values())
+    return lines.df.select(F.element_at(F.split("key", "/"), -2).alias("origin"), "value")
+
+
+@query("""
+select w as key, count(*) as value from (select unnest(string_split('the mill turns while the water runs water wears the stone the stone grinds the grain', ' ')) as w) group by w
+union all select 'lines', 4
+""")
+def resource_words(spark, sf_dir):
+    lines = Pipeline(spark).read_resource_file("millrace.resources", "mill.txt")
+    return lines.flat_map(split_words).count().df.unionByName(lines.map(lambda v: F.lit("lines")).count().df)
+
+
+@query("select s_suppkey as value, 2 as n from supplier")
+def avro_read_twice(spark, sf_dir):
+    path = scratch(spark, "keys.avro")
+    sinks.avro(collection(spark, sf_dir, "supplier", "s_suppkey"), path)
+    keys = readers.avro_file(spark, path)
+    return flatten(keys, keys).count().df.select(F.col("key").alias("value"), F.col("value").alias("n"))
+
+
+@query("select o_orderpriority as priority, cast(o_custkey as double) as customer, 'new' as note from orders")
+def avro_reader_schema(spark, sf_dir):
+    """Projection, an alias, a wider type and a default, all while decoding."""
+    path = scratch(spark, "orders.avro")
+    sinks.avro(Collection(read(spark, sf_dir, "orders").select(F.struct("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate").alias("value"))), path)
+    fields = [
+        {"name": "priority", "aliases": ["o_orderpriority"], "type": ["null", "string"]},
+        {"name": "customer", "aliases": ["o_custkey"], "type": ["null", "double"]},
+        {"name": "note", "type": "string", "default": "new"},
+    ]
+    return readers.avro_file(spark, path, {"type": "record", "name": "Order", "fields": fields}).df.select("value.*")
+
+
+@query("select l_orderkey, l_shipdate, cast(l_extendedprice as decimal(12, 2)) as price from lineitem")
+def avro_logical_types(spark, sf_dir):
+    path = scratch(spark, "lines.avro")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", F.col("l_extendedprice").cast("decimal(12, 2)").alias("price"))
+    sinks.avro(Collection(lines.select(F.struct("*").alias("value"))), path)
+    return readers.avro_file(spark, path).df.select("value.*")
+
+
+@query("select i as value, 'row' as kind from range(1000) t(i) union all select i * i, 'pair' from range(100) t(i) union all select -1, 'more' from range(3)")
+def rows_in_memory(spark, sf_dir):
+    p = Pipeline(spark)
+    rows = p.from_rows(range(1000), kinds.longs())
+    pairs = p.from_pairs([(i, i * i) for i in range(100)], kinds.table_of(kinds.longs(), kinds.longs()))
+    kind = lambda bag, name: bag.df.select("value", F.lit(name).alias("kind"))
+    more = p.from_rows([-1], kinds.longs()).append([-1, -1])
+    return kind(rows, "row").unionByName(kind(pairs.values(), "pair")).unionByName(kind(more, "more"))
+
+
+@query("select c_custkey as value from customer union all select 0 union all select 0")
+def append_rows(spark, sf_dir):
+    return collection(spark, sf_dir, "customer", "c_custkey").append([0, 0]).df
+
+
+@query("select n_name || '!' as value, 'iterated' as how from nation union all select n_name, 'collected' from nation")
+def iterate_and_collect(spark, sf_dir):
+    """Small results on the driver, one after the other or all at once."""
+    p = Pipeline(spark)
+    names = collection(spark, sf_dir, "nation", "n_name")
+    one = p.from_rows([f"{x}!" for x in names], kinds.strings()).df.withColumn("how", F.lit("iterated"))
+    return one.unionByName(p.from_rows(names.collect(), kinds.strings()).df.withColumn("how", F.lit("collected")))
+
+
+@query("select 'fused maps' as plan, 0 as exchanges union all select 'co-group', 1 union all select 'three groupings', 1")
+def plan_shapes(spark, sf_dir):
+    """Exchanges of physical plans: adjacent maps have none, a co-group and groupings of one input share one."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    maps = orders.map_pairs(lambda k, v: (v, k)).filter(lambda k, v: v > 3).map(lambda k, v: k + v).df
+    both = orders.join(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey")).values().df
+    plans = {"fused maps": maps, "co-group": both, "three groupings": multi_groupby_shared_scan(spark, sf_dir)}
+    rows = [(name, operators(df)["Exchange"]) for name, df in plans.items()]
+    return spark.createDataFrame(rows, "plan string, exchanges int")
+
+
 class Segments(Workflow):
     """Orders by status and by priority, from one expensive parent."""
 
@@ -498,13 +652,10 @@ class Segments(Workflow):
 select 'status' as output, o_orderstatus as key, count(*) as value from orders group by 2 union all select 'priority', o_orderpriority, count(*) from orders group by 2
 """)
 def workflow_multi_output(spark, sf_dir):
-    where = Segments(spark, sf_dir).run(folder(spark, "segments"))
+    where = Segments(spark, sf_dir).run(scratch(spark, "segments"))
     parts = [spark.read.parquet(p).select(F.lit(n).alias("output"), "key", "value") for n, p in where.items()]
     return parts[0].unionByName(parts[1])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordcount_documents(spark, sf_dir)
-
-
-__all__ = ["ORACLE_SQL", "QUERIES", "Pipeline", "T", "flagship"]
