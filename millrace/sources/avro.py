@@ -18,15 +18,14 @@ import uuid
 import zlib
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..types import from_avro, linked, members, to_avro
+from .files import RANGE, FilesWriter, Range, file_system, files_of, ranges
 
 MAGIC = b"Obj\x01"
-RANGE = 64 << 20
 ROWS_IN_BLOCK = 2000
 
 
@@ -388,36 +387,17 @@ def blocks(stream, start: int, end: int, reader=None):
         yield [one(d) for _ in range(n)], schema
 
 
-def _file_system(uri: str):
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file:" + uri.removeprefix("file:"))
-
-
-def _files(path: str):
-    fs, at = _file_system(path)
-    info = fs.get_file_info(at)
-    if info.type == pafs.FileType.File:
-        return fs, [info]
-    found = fs.get_file_info(pafs.FileSelector(at))
-    return fs, sorted((f for f in found if f.is_file and not f.base_name.startswith(("_", "."))), key=lambda f: f.path)
-
-
-class _Range(InputPartition):
-    def __init__(self, uri: str, path: str, start: int, end: int):
-        self.uri, self.path, self.start, self.end = uri, path, start, end
-
-
 class _Reader(DataSourceReader):
     def __init__(self, path: str, schema: T.StructType, size: int, avro):
         self.path, self.schema, self.size, self.avro = path, schema, size, avro
 
     def partitions(self):
-        _, files = _files(self.path)
-        return [_Range(self.path, f.path, s, min(f.size, s + self.size)) for f in files for s in range(0, max(f.size, 1), self.size)] or [_Range(self.path, "", 0, 0)]
+        return ranges(self.path, self.size)
 
-    def read(self, part: _Range):
+    def read(self, part: Range):
         if not part.path:
             return
-        fs, _ = _file_system(part.uri)
+        fs, _ = file_system(part.uri)
         arrow = to_arrow_schema(self.schema)
         with fs.open_input_file(part.path) as stream:
             for rows, schema in blocks(stream, part.start, part.end, self.avro):
@@ -428,50 +408,22 @@ class _Reader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
 
-class _Written(WriterCommitMessage):
-    def __init__(self, name: str):
-        self.name = name
+class _Writer(FilesWriter):
+    suffix = ".avro"
 
-
-class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, schema: T.StructType, codec: str, overwrite: bool, bare: bool, avro=None):
-        self.path, self.codec, self.overwrite, self.bare, self.avro = path, codec, overwrite, bare, avro
-        self.schema = schema
-        self.run = uuid.uuid4().hex
-        fs, at = _file_system(path)
-        if not overwrite and fs.get_file_info(at).type != pafs.FileType.NotFound and _files(path)[1]:
-            raise FileExistsError(path)
-
-    def write(self, iterator):
-        fs, at = _file_system(self.path)
-        fs.create_dir(f"{at}/_temporary-{self.run}", recursive=True)
-        name = f"part-{uuid.uuid4().hex}.avro"
+        super().__init__(path, schema, overwrite)
+        self.codec, self.bare, self.avro = codec, bare, avro
+
+    def dump(self, out, batches):
         kind = self.schema.fields[0].dataType if self.bare else self.schema
         shown, sync = self.avro or to_avro(kind, nullable=self.bare and self.schema.fields[0].nullable), uuid.uuid4().bytes
         schema = linked(shown)
-        with fs.open_output_stream(f"{at}/_temporary-{self.run}/{name}", compression=None) as out:
-            out.write(header(shown, self.codec, sync))
-            for batch in iterator:
-                rows = batch.column(0).to_pylist() if self.bare else batch.to_pylist()
-                for k in range(0, len(rows), ROWS_IN_BLOCK):
-                    out.write(block(rows[k : k + ROWS_IN_BLOCK], schema, self.codec, sync))
-        return _Written(name)
-
-    def commit(self, messages):
-        fs, at = _file_system(self.path)
-        old = _files(self.path)[1] if self.overwrite else []
-        for m in messages:
-            if m is not None:
-                fs.move(f"{at}/_temporary-{self.run}/{m.name}", f"{at}/{m.name}")
-        for f in old:
-            fs.delete_file(f.path)
-        if fs.get_file_info(f"{at}/_temporary-{self.run}").type != pafs.FileType.NotFound:
-            fs.delete_dir(f"{at}/_temporary-{self.run}")
-
-    def abort(self, messages):
-        fs, at = _file_system(self.path)
-        if fs.get_file_info(f"{at}/_temporary-{self.run}").type != pafs.FileType.NotFound:
-            fs.delete_dir(f"{at}/_temporary-{self.run}")
+        out.write(header(shown, self.codec, sync))
+        for batch in batches:
+            rows = batch.column(0).to_pylist() if self.bare else batch.to_pylist()
+            for k in range(0, len(rows), ROWS_IN_BLOCK):
+                out.write(block(rows[k : k + ROWS_IN_BLOCK], schema, self.codec, sync))
 
 
 class AvroSource(DataSource):
@@ -486,7 +438,7 @@ class AvroSource(DataSource):
         """The reader schema: as given, else that of the first file."""
         if "reader" in self.options:
             return json.loads(self.options["reader"])
-        fs, files = _files(self.options["path"])
+        fs, files = files_of(self.options["path"])
         if not files:
             raise FileNotFoundError(self.options["path"])
         with fs.open_input_file(files[0].path) as stream:

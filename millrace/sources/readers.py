@@ -15,6 +15,7 @@ from ..functions.text import first_tab
 from ..operators.collection import Collection, Table
 from ..types import checked, collection_of, to_avro
 from .avro import AvroSource
+from .seqfile import SequenceSource
 
 
 def text_file(spark: SparkSession, path: str) -> Collection:
@@ -46,8 +47,9 @@ def tab_pairs(spark: SparkSession, path: str) -> Table:
 
 
 def sequence_file(spark: SparkSession, path: str, schema: T.StructType) -> Table:
-    """Pairs of a Hadoop sequence file of standard Writables."""
-    return Table(spark.createDataFrame(spark.sparkContext.sequenceFile(path), schema))
+    """Pairs of Hadoop sequence files of standard Writables."""
+    spark.dataSource.register(SequenceSource)
+    return Table(spark.read.format("millrace_sequence").schema(schema).load(path))
 
 
 def avro_file(spark: SparkSession, path: str, schema: T.DataType | dict | list | str | None = None):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.collection import Collection, Table
 from .avro import AvroSource
+from .seqfile import SequenceSource
 
 
 def text(bag, path: str, mode: str = "errorifexists") -> None:
@@ -25,9 +26,11 @@ def text(bag, path: str, mode: str = "errorifexists") -> None:
     bag.df.select(line.alias("value")).write.mode(mode).text(path)
 
 
-def sequence_file(table: Table, path: str) -> None:
-    """Pairs as Writables. Nulls have no Writable and fail the job."""
-    table.df.rdd.map(lambda r: (r[0], r[1])).saveAsSequenceFile(path)
+def sequence_file(table: Table, path: str, mode: str = "append", nulls: bool = False) -> None:
+    """Pairs as the Writables of their types. A null has none and fails the job, unless ``nulls`` asks for ObjectWritables."""
+    spark = table.df.sparkSession
+    spark.dataSource.register(SequenceSource)
+    table.df.write.format("millrace_sequence").mode(mode).option("nulls", str(nulls).lower()).save(path)
 
 
 def avro(bag, path: str, mode: str = "append", codec: str = "deflate", schema: dict | list | str | None = None) -> None:

@@ -1,6 +1,7 @@
 """Files written and read back; Avro encoding; workflows; streams."""
 
 import dataclasses
+import math
 from collections import Counter
 
 import pytest
@@ -12,7 +13,7 @@ from millrace import types as kinds
 from millrace.operators.collection import Collection, Table
 from millrace.plans.pipeline import Pipeline
 from millrace.plans.workflow import Workflow, publish, shared_parents
-from millrace.sources import avro, readers, sinks
+from millrace.sources import avro, readers, seqfile, sinks
 from millrace.streaming import streams
 
 PAIRS = kinds.table_of(kinds.integers(), kinds.integers())
@@ -45,6 +46,59 @@ def test_sequence_file(spark, at):
     assert [(k, v) for k, v in back.group_by_key().sorted_rows(global_order=True).collect()] == [(2, 3), (4, 5)]
 
 
+def test_sequence_file_types(spark, at):
+    """Every Writable, nulls and bytes included; the JVM reads what is written, and the other way round."""
+    p = Pipeline(spark)
+    cases = [
+        (kinds.booleans(), [True, False]),
+        (kinds.doubles(), [0.5, math.inf, -0.0]),
+        (kinds.floats(), [0.25, -1.0]),
+        (kinds.integers(), [0, -(2**31), 2**31 - 1]),
+        (kinds.longs(), [2**62, -1]),
+        (kinds.strings(), ["", "é\n\t", "x" * 70_000]),
+        (kinds.byte_strings(), [b"", b"\0\xff" * 100]),
+    ]
+    for k, (kind, values) in enumerate(cases):
+        schema = kinds.table_of(kind, kinds.longs())
+        rows = [(v, i) for i, v in enumerate(values)]
+        t = p.from_pairs(rows, schema)
+        sinks.sequence_file(t, at(f"plain{k}"))
+        shown = lambda got: Counter((bytes(a) if isinstance(a, bytearray) else a, b) for a, b in got)
+        assert shown(readers.sequence_file(spark, at(f"plain{k}"), schema).collect()) == shown(rows)
+        assert shown(spark.sparkContext.sequenceFile(at(f"plain{k}")).collect()) == shown(rows)
+        if kind not in (kinds.floats(), kinds.longs()):  # Python numbers have other Writables there
+            spark.sparkContext.parallelize(rows, 2).saveAsSequenceFile(at(f"jvm{k}"))
+            got = readers.sequence_file(spark, at(f"jvm{k}"), kinds.table_of(kind, kinds.longs())).collect()
+            assert shown(got) == shown(rows)
+        sinks.sequence_file(p.from_pairs([*rows, (None, 9)], schema), at(f"nulls{k}"), nulls=True)
+        assert shown(readers.sequence_file(spark, at(f"nulls{k}"), schema).collect()) == shown([*rows, (None, 9)])
+    with pytest.raises(Exception, match="no Writable"):
+        sinks.sequence_file(p.from_pairs([(None, 1)], PAIRS), at("null"))
+    with pytest.raises(Exception, match="no Writable"):
+        sinks.sequence_file(p.from_pairs([([1], 1)], kinds.table_of(kinds.lists_of(kinds.longs()), kinds.longs())), at("list"))
+
+
+@pytest.mark.parametrize("codec", ["org.apache.hadoop.io.compress.DefaultCodec", "org.apache.hadoop.io.compress.BZip2Codec", None])
+def test_sequence_file_ranges(spark, at, codec):
+    rows = [(k, f"value {k} " * 5) for k in range(30_000)]
+    spark.sparkContext.parallelize(rows, 2).saveAsSequenceFile(at("jvm"), compressionCodecClass=codec)
+    schema = kinds.table_of(kinds.integers(), kinds.strings())
+    spark.dataSource.register(seqfile.SequenceSource)
+    got = spark.read.format("millrace_sequence").schema(schema).option("range", 20_000).load(at("jvm")).collect()
+    assert Counter(map(tuple, got)) == Counter(rows)
+    if codec is None:
+        t = Table(spark.createDataFrame(rows, schema).coalesce(1))
+        sinks.sequence_file(t, at("own"))
+        got = spark.read.format("millrace_sequence").schema(schema).option("range", 70_000).load(at("own"))
+        assert got.rdd.getNumPartitions() > 5 and Counter(map(tuple, got.collect())) == Counter(rows)
+
+
+def test_variable_length_numbers():
+    for n in (0, 1, 127, 128, -1, -112, -113, 255, 256, 2**31, 2**62, -(2**62)):
+        raw = seqfile.vint(n)
+        assert seqfile.read_vint(raw) == (n, len(raw))
+
+
 def test_declared_formats(spark, at):
     p = Pipeline(spark)
     sinks.text(p.from_rows(["x\ty"], kinds.strings()), at("t"))
