@@ -530,10 +530,18 @@ def seqfile_roundtrip(spark, sf_dir):
     return readers.sequence_file(spark, path, t.schema).df
 
 
-@query("select s_suppkey, s_name, s_nationkey, s_acctbal from supplier")
+@query("select nullif(o_orderkey % 4, 0) as key, nullif(o_clerk, 'Open') as value from (select o_orderkey, case o_orderstatus when 'O' then 'Open' else o_orderstatus end as o_clerk from orders)")
+def seqfile_nulls(spark, sf_dir):
+    path = scratch(spark, "nulls.seq")
+    t = table(spark, sf_dir, "orders", F.nullif(F.col("o_orderkey") % 4, F.lit(0)), F.nullif("o_orderstatus", F.lit("O")))
+    sinks.sequence_file(t, path, nulls=True)
+    return readers.sequence_file(spark, path, t.schema).df
+
+
+@query("select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders")
 def avro_roundtrip(spark, sf_dir):
-    path = scratch(spark, "suppliers.avro")
-    sinks.avro(Collection(read(spark, sf_dir, "supplier").select(F.struct("*").alias("value"))), path)
+    path = scratch(spark, "orders.avro")
+    sinks.avro(Collection(read(spark, sf_dir, "orders").select(F.struct("*").alias("value"))), path)
     return readers.avro_file(spark, path).df.select("value.*")
 
 
