@@ -5,14 +5,15 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
+import threading
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch
+
 #: lower-cases A-Z and turns every byte that is in no alphanumeric word into a space
 ALNUM = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
@@ -24,40 +25,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+class _Scopes(threading.local):
+    def __init__(self):
+        self.open: list[list[DataFrame]] = []
 
-    Only where the session names none (tests in local mode) a folder of this machine is set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
 
+_scopes = _Scopes()
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}/{name}"
 
+@contextlib.contextmanager
+def tidied():
+    """Tables that are ``saved`` inside are deleted at the end, but for those saved with ``keep``.
+
+    A result that is read later has to be saved with ``keep``; an enclosing scope then owns it.
+    """
+    _scopes.open.append([])
+    try:
+        yield
+    finally:
+        discard(*_scopes.open.pop())
 
-def saved(df: DataFrame, name: str = "step") -> DataFrame:
+
+def saved(df: DataFrame, name: str = "step", keep: bool = False) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
+    owner = len(_scopes.open) - (2 if keep else 1)
+    if owner >= 0:
+        _scopes.open[owner].append(out)
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*frames: DataFrame) -> None:
-    """Deletes what ``saved`` has written."""
+    """Deletes what ``saved`` has written, with the folder of the table's own that it lies in."""
     for df in frames:
         path = getattr(df, "_millrace_path", None)
         if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            remove(df.sparkSession, path.rpartition("/")[0])
 
 
 @contextlib.contextmanager
@@ -72,6 +84,16 @@ def given_back():
             ctypes.CDLL(None).malloc_trim(0)
 
 
+#: bytes of input that are Python objects at once, about
+SLICE = 8 << 20
+
+
+def pieces(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and of about ``SLICE`` bytes; a row is never cut."""
+    step = max(1, min(rows, batch.num_rows * SLICE // max(1, batch.nbytes)))
+    return (batch.slice(k, step) for k in range(0, batch.num_rows, step))
+
+
 def map_columns(
     df: DataFrame,
     columns: Sequence[str | Column],
@@ -82,7 +104,7 @@ def map_columns(
     """Narrow, streaming Arrow map.
 
     ``start()`` runs once for each task and returns a function that takes columns as lists and returns the
-    output columns. It gets ``rows`` rows at a time, and only one input batch is held.
+    output columns. It gets ``rows`` rows at a time, fewer where they are long, and only one input batch is held.
     """
     picked = df.select(*columns)
     fields = picked.limit(0).sparkSession.createDataFrame([], schema).schema
@@ -93,7 +115,7 @@ def map_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with given_back():
             work = start()
-            for part in (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)):
+            for part in (part for b in batches for part in pieces(b, rows)):
                 out = work(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays(
                     [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, arrow)],
@@ -122,7 +144,7 @@ def with_columns(df: DataFrame, column: str, added: str, start: Callable[[], Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with given_back():
             work = start()
-            for part in (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)):
+            for part in (part for b in batches for part in pieces(b, rows)):
                 out = [*part.columns, *work(part.column(at).to_pylist())]
                 yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(out, arrow)], schema=arrow)
             del work

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, only, saved, without
+from .common import only, saved, tidied, without
 
 WINDOW = 13
 #: hashes or spans of the benchmark that are broadcast at most (up to about 150 bytes each)
@@ -162,7 +162,6 @@ def matched(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = named.select("doc_id", "th", "item_id").distinct().groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     named = named.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     hit = saved(hit.join(named, hit["doc_id"].eqNullSafe(named["_id"]) & (hit["th"] == named["_th"]), "left").select("doc_id", "th", "n_hit", "items", "full"), "hits")
-    discard(own, owners, contents, found)
     return heads, hit
 
 
@@ -173,11 +172,14 @@ def _docs(documents: DataFrame) -> DataFrame:
 def contamination(documents: DataFrame, benchmark: DataFrame, how: str = "left") -> DataFrame:
     """One row per document: doc_id, th (hash of the text), n_words, n_hit, items, full, contaminated.
 
-    With ``how="inner"`` only documents that are hit (all others are not contaminated).
+    With ``how="inner"`` only documents that are hit (all others are not contaminated). The result is a saved table.
     """
-    items = prepared(benchmark)
-    heads, hit = matched(_docs(documents), items)
-    discard(items)
+    with tidied():
+        return saved(_contamination(documents, benchmark, how), "contamination", keep=True)
+
+
+def _contamination(documents: DataFrame, benchmark: DataFrame, how: str) -> DataFrame:
+    heads, hit = matched(_docs(documents), prepared(benchmark))
     hit = hit.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     both = heads.join(hit, heads["doc_id"].eqNullSafe(hit["_id"]) & (heads["th"] == hit["_th"]), how)
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")

@@ -7,11 +7,15 @@ stream, rewrites every record as a gzip member of its own and writes a sidecar w
 Files go to the folder given (any file system of pyarrow), under a name of the attempt first and then renamed,
 so a task that is run again leaves the same files. A null html is an empty payload. Of equal payloads of at
 least 100 bytes, rows of the smallest page_id are responses and the others revisit it; where all ids of such
-a payload are null, all are responses. Control characters of a url are percent-encoded. Memory: one record.
+a payload are null, all are responses. A revisit names the record of its page (WARC-Refers-To). Control characters of a
+url are percent-encoded. Memory: one record and its line of the sidecar when writing, about 8 MB of records when reading;
+each file is a task of its own. Repeated rows are records each. Without pages there is no file and no row. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import uuid
@@ -24,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, saved, scratch
+from .common import map_columns, remove, saved, scratch, tidied
 
 LEAST = 100
 #: payloads that occur more than once, up to which their table is broadcast (about 100 bytes each)
@@ -51,22 +55,32 @@ class _Publish:
     def __exit__(self, kind, *_):
         self.out.close()
         if kind is None:
-            self.fs.move(self.temporary, self.path)
+            try:
+                self.fs.move(self.temporary, self.path)
+            except OSError:  # some file systems don't replace what an attempt before has left
+                if self.fs.get_file_info(self.path).type == pafs.FileType.NotFound:
+                    raise
+                self.fs.delete_file(self.path)
+                self.fs.move(self.temporary, self.path)
         else:
             self.fs.delete_file(self.temporary)
 
 
+def record_id(page_id, digest: str) -> str:
+    """The same page and payload always have the same name, so a revisit can tell that of its response."""
+    return f"<urn:uuid:{uuid.UUID(bytes=sha256(f'{page_id} {digest}'.encode()).digest()[:16])}>"
+
+
 def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     """One WARC/1.1 record; a revisit has the headers only."""
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    name = uuid.UUID(bytes=sha256(f"{page_id} {digest} {url}".encode("utf-8", "replace")).digest()[:16])
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{name}>",
+        f"WARC-Record-ID: {record_id(page_id, digest)}",
         "WARC-Date: 2000-01-01T00:00:00Z",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -79,6 +93,7 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     if revisit:
         lines += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {record_id(refers_to, digest)}",
             f"X-Refers-To-Page: {refers_to}",
         ]
     return "\r\n".join(lines).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -178,8 +193,8 @@ def write_archives(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
 
 
 def _each_file(paths: DataFrame) -> DataFrame:
-    """Spreads the files over tasks."""
-    return paths.repartition(max(1, min(10_000, paths.count())))
+    """One file a task: as many ranges as there are files, whose names differ. There is a short row for each file."""
+    return paths.repartitionByRange(max(1, paths.count()), "path")
 
 
 def normalise(paths: DataFrame, level: int = 1) -> DataFrame:
@@ -233,7 +248,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                 fs2, side = _file_system(index)
                 rows, size = [], 0
                 with fs.open_input_file(at) as source, fs2.open_input_stream(side, compression=None) as lines:
-                    for line in lines.read().splitlines():
+                    for line in io.TextIOWrapper(lines, encoding="utf-8", newline="\n"):
                         head, payload = read_record(source, json.loads(line))
                         digest = head["warc-payload-digest"].removeprefix("sha256:")
                         kind, n = head["warc-type"], int(head["x-payload-bytes"])
@@ -254,6 +269,13 @@ def read_archives(files: DataFrame) -> DataFrame:
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Writes, normalises and reads back all pages."""
-    files = normalise(write_archives(with_references(pages), scratch(pages.sparkSession, "warc")))
-    return read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Writes, normalises and reads back all pages; what was read is a saved table, and the archives are removed."""
+    spark = pages.sparkSession
+    folder = scratch(spark, "warc")
+    try:
+        with tidied():
+            files = normalise(write_archives(with_references(pages), folder))
+            out = read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+            return saved(out, "records", keep=True)
+    finally:
+        remove(spark, folder.rpartition("/")[0])
