@@ -3,9 +3,13 @@
 A template is a text with ``[[optional words]]`` and ``{{n}}``, a place for up to n words of any kind. It is
 compiled into an automaton over words (lower-cased A-Z, digits, non-ASCII). A place of a text is accepted
 when all mandatory words stand there exactly and in order; optional regions may be present as written or be
-missing. Base phrases are found beside the templates and their labels always stay.
+missing as a whole. Of overlapping places of one template the first counts, as long as it can be. Base phrases are found
+beside the templates and their labels always stay. The templates are in ``license_templates``; others can be given.
 
-Null texts are empty. Nothing depends on other rows, so repeated rows give repeated results.
+Templates are tried only where their longest run of fixed words stands, and only in texts that have one of ``KEYS``,
+which every template's mandatory wording has; so most texts cost a few searches. Null and empty texts have no words; very long
+texts are taken whole. Nothing depends on other rows, so repeated rows give repeated results; without documents there is no
+row. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,23 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM, map_columns
+from .license_templates import TEMPLATES
 
 #: fixed values: base phrases and their labels
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-
-TEMPLATES = (
-    ("apache-2.0", "licensed under [[the terms of]] the apache license [[version]] 2 0"),
-    ("mit", "[[released]] under [[the terms of]] the mit license"),
-    ("cc-by-nc-4.0", "licensed under [[a]] [[the]] cc by nc 4 0"),
-    ("cc-by-4.0", "licensed under [[a]] [[the]] cc by 4 0"),
-    ("cc-by-sa-4.0", "licensed under [[a]] [[the]] cc by sa 4 0"),
-    ("gpl-3.0", "under the [[terms of the]] gnu [[affero]] general public license [[as published by the free software foundation {{2}}]] version 3"),
-    ("gpl-2.0", "under the [[terms of the]] gnu general public license [[as published by the free software foundation {{2}}]] version 2"),
-    ("reserved", "copyright [[c]] {{8}} all rights reserved"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of {{6}} and associated documentation files [[the software]] to deal in {{4}} without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of {{4}}"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-)
-
+#: one of these is part of every template's mandatory wording
+KEYS = (b"licens", b"permi", b"copyright", b"redistribut", b"commons", b"warrant", b"reserved", b"public domain", b"damage", b"cc0", b" clause ", b"software")
 
 class Template:
     """Automaton over words. State i stands before token i; optional regions are jumps, free places are loops."""
@@ -79,8 +72,10 @@ class Template:
     def _closed(self, states: set[tuple[int, int]]) -> set[tuple[int, int]]:
         todo = list(states)
         while todo:
-            i, _ = todo.pop()
-            for j in [*self.jumps.get(i, ()), *([i + 1] if i < self.accept and isinstance(self.tokens[i], int) else [])]:
+            i, used = todo.pop()
+            # a region that has begun with a free place can no longer be left out
+            skips = self.jumps.get(i, ()) if not used else ()
+            for j in [*skips, *([i + 1] if i < self.accept and isinstance(self.tokens[i], int) else [])]:
                 if (j, 0) not in states:
                     states.add((j, 0))
                     todo.append((j, 0))
@@ -125,7 +120,7 @@ def places(line: bytes, phrase: bytes) -> list[int]:
     return out
 
 
-def scan(text: str | None, templates=COMPILED):
+def scan(text: str | None, templates=COMPILED, keys=KEYS):
     """n_words, n_base, first_word, last_word, base_labels, labels, score, notices (label, start, end)."""
     words = (text or "").encode("utf-8").translate(ALNUM).split()
     line = b" " + b" ".join(words) + b" "
@@ -138,7 +133,7 @@ def scan(text: str | None, templates=COMPILED):
             first = at[0] if first is None else min(first, at[0])
             last = at[-1] if last is None else max(last, at[-1])
     notices, score = [], 0.6 if base else 0.0
-    for t in templates:
+    for t in templates if any(k in line for k in keys) else ():
         if t.anchor not in line:
             continue
         seen = -1
