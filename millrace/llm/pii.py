@@ -1,11 +1,12 @@
 """Personal data: expressions propose spans, checksums confirm them, nearby context words adjust the score.
 
 Base kinds (always kept): email, ip, card, phone. Kinds of this module besides: iban (mod-97), ssn (kept from
-a score of 0.6 on, which needs a context word) and secret (a key name with its value). Spans are in code
+a score of 0.6 on, which needs a context word) and secret (a key name with its value). Words of the kind nearby raise a
+score; where there is none, words that speak of other numbers lower it. ``redact`` can leave spans below a score alone. Spans are in code
 points, end exclusive, and are found leftmost and without overlap inside each kind. An iban may end at any word
 boundary where mod-97 holds: at the length of its country, else as late as possible. A null text counts as
 empty. All searches are linear in the length of the text, so very long texts need no cap. Repeated rows give
-repeated results, extra columns pass through.
+repeated results, extra columns pass through; a column named like an added one is replaced. Without documents there is no row.
 """
 
 from __future__ import annotations
@@ -32,11 +33,20 @@ CONTEXT = {
     "ssn": ("ssn", "social", "security"),
     "secret": ("token", "secret", "password", "key"),
 }
+#: words nearby that lower the score of a span without a word of its kind
+AGAINST = {
+    "ip": ("version", "release", "section", "chapter"),
+    "card": ("order", "tracking", "serial", "isbn", "invoice"),
+    "phone": ("order", "serial", "invoice", "version"),
+    "iban": ("serial", "part", "tracking"),
+    "ssn": ("part", "order", "serial", "invoice"),
+}
 REACH = 60
-RAISE = 0.3
+RAISE, LOWER = 0.3, 0.3
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
-_LOCAL = "".join(map(chr, (*range(48, 58), *range(65, 91), *range(97, 123)))) + "._%+-"
+#: fixed values: characters before the @ of an email, and the expressions of the base kinds
+_LOCAL = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _MAY_BE_IP = re.compile(r"[0-9]\.[0-9]++\.[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -160,7 +170,9 @@ def _proposed(text: str):
 def _score(text: str, kind: str, start: int, end: int) -> float:
     near = text[max(0, start - REACH) : start].lower() + " " + text[end : end + REACH].lower()
     words = set(re.findall(r"\w+", near))
-    return min(1.0, PRIOR[kind] + RAISE * (not words.isdisjoint(CONTEXT[kind])))
+    if not words.isdisjoint(CONTEXT[kind]):
+        return min(1.0, PRIOR[kind] + RAISE)
+    return PRIOR[kind] - LOWER * (not words.isdisjoint(AGAINST.get(kind, ())))
 
 
 def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -172,12 +184,12 @@ def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
     return out
 
 
-def redacted(text: str | None) -> str | None:
-    """The text with every found span replaced by its kind in angle brackets; overlapping spans become one."""
+def redacted(text: str | None, least: float = 0.0) -> str | None:
+    """The text with every span of a score of ``least`` or more replaced by its kind in angle brackets; overlapping spans become one."""
     if text is None:
         return None
     out, done = [], 0
-    for kind, start, end, _ in sorted(spans_of(text), key=lambda s: (s[1], -s[2])):
+    for kind, start, end, _ in sorted((s for s in spans_of(text) if s[3] >= least), key=lambda s: (s[1], -s[2])):
         if start >= done:
             out += [text[done:start], f"<{kind.upper()}>"]
         done = max(done, end)
@@ -199,12 +211,12 @@ def detect(df: DataFrame, text: str = "text", output: str = "spans") -> DataFram
     return df.withColumn(output, found(F.col(text)))
 
 
-def redact(df: DataFrame, text: str = "text") -> DataFrame:
+def redact(df: DataFrame, text: str = "text", least: float = 0.0) -> DataFrame:
     """Replaces ``text`` by its redacted form."""
 
     columns = df.columns
     new = unused(df, "_redacted")
-    out = with_columns(df, text, f"`{new}` string", lambda: lambda texts: [pa.array(list(map(redacted, texts)), type=pa.string())])
+    out = with_columns(df, text, f"`{new}` string", lambda: lambda texts: [pa.array([redacted(t, least) for t in texts], type=pa.string())])
     return out.select(*(F.col(f"`{new}`").alias(c) if c == text else F.col(f"`{c}`") for c in columns))
 
 
@@ -222,4 +234,5 @@ def digest(found: DataFrame, spans: str = "spans") -> DataFrame:
         *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(F.array_join(F.transform(of(*BASE), line), ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.transform(spans, line), ",").alias("spans"),
+        F.array_join(F.transform(spans, lambda x: F.format_number(x["score"], "0.0")), ",").alias("scores"),
     )
