@@ -5,8 +5,9 @@ that has a merge rank to all its positions. Active ranks are taken in ascending
 positions of a rank are merged at once and the lists of the neighbouring pairs are updated. As pieces never
 touch, the order of merges inside every piece is the order of ranks, which is what BPE asks for.
 
-Nulls are taken as empty texts (no token). The special tokens of the file are cut out of the text first, as
-the tokenizers library does. Extra columns of the input are not read.
+Null and empty texts have no token; very long texts are encoded whole. The added tokens of the file are cut out of the
+text first, with the white space and word limits that their attributes ask for, as the tokenizers library does. Repeated
+rows give repeated results; without documents there is no row. Columns besides are not read (digests) or pass through.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from .common import map_columns, with_columns
 #: pieces that a worker remembers; beyond it the memory starts afresh (only speed depends on it)
 REMEMBERED = 250_000
 
+#: fixed value: how the tokenizer splits a text before the merges
 _PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+"""
 _FAST = regex.compile(_PIECES.format(L=r"\p{L}", N=r"\p{N}"))
 _LATER = re.compile("[԰-\U0010ffff]")
@@ -72,7 +74,8 @@ class Bpe:
         vocab: dict[str, int] = spec["model"]["vocab"]
         symbols = byte_symbols()
         value = {s: b for b, s in enumerate(symbols)}
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.added = [(t["content"], t["id"], *(bool(t.get(k)) for k in ("lstrip", "rstrip", "single_word"))) for t in spec.get("added_tokens", [])]
+        self.special = {t[0]: t[1] for t in self.added}
         self.first = [vocab[s] for s in symbols]
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.pieces = [b""] * size
@@ -104,10 +107,15 @@ class Bpe:
             if self.later
             else _FAST.pattern
         )
-        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        added = sorted(self.added, key=lambda t: -len(t[0]))
+        self.added_ids = [0, *(t[1] for t in added)]
+        shown = (
+            f"({r'\s*' * left}{r'(?<!\w)' * whole}{re.escape(token)}{r'(?!\w)' * whole}{r'\s*' * right})" for token, _, left, right, whole in added
+        )
+        self.cut = re.compile("|".join(shown)) if added else None
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("special", "first", "pieces", "merges", "later")}
+        return {k: self.__dict__[k] for k in ("added", "special", "first", "pieces", "merges", "later")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -192,7 +200,7 @@ class Bpe:
             out: list[list[str] | int] = []
             begin = 0
             for m in self.cut.finditer(text) if self.cut else ():
-                out += [self.split(text[begin : m.start()]), self.special[m[0]]]
+                out += [self.split(text[begin : m.start()]), self.added_ids[m.lastindex]]
                 begin = m.end()
             out.append(self.split(text[begin:] if begin else text))
             for words in out:
