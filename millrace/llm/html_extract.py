@@ -7,13 +7,16 @@ it, to drop all of it, or to leave the choice to the children at a price; so a k
 dropped one. The trees are trained on generated pages of many layouts (``training_pages``), whose nodes carry
 their label; no table is read for it, and the seed is fixed.
 
-Null and empty html give the empty text. Character references are decoded, white space inside a block becomes
-one space, blocks are joined by two newlines in page order. Unclosed and crossing tags are tolerated; pages
-that break off are read to their end.
+Null and empty html give the empty text. Character references are decoded in each piece of text between tags, white
+space inside a block becomes one space, blocks are joined by two newlines in page order. Unclosed and crossing tags are
+tolerated; pages that break off are read to their end. Parsing takes time in proportion to the page, however deep its
+tags are nested and however many are never closed; very long pages are taken whole. Repeated rows give repeated results;
+without pages there is no row. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import math
 import random
@@ -92,6 +95,11 @@ def parse(page: str) -> Node:
     """The tree of blocks. Text is in leaves only: the block itself, or a #text child where blocks are mixed in."""
     root = Node("html", None)
     at = root
+    #: open nodes below the root, the places of each tag among them, and those of the tags in _SCOPE
+    opened: list[Node] = []
+    places: dict[str, list[int]] = {}
+    scopes: list[int] = []
+    endless: set[str] = set()
     run: list[str] = []
     link = 0
     linked = 0
@@ -99,7 +107,7 @@ def parse(page: str) -> Node:
     def flush():
         nonlocal run, linked
         if run:
-            text = _SPACE.sub(" ", _html.unescape("".join(run)).replace("\xa0", " ")).strip()
+            text = _SPACE.sub(" ", "".join(run).replace("\xa0", " ")).strip()
             run = []
             if text:
                 leaf = Node("#text", at)
@@ -111,21 +119,34 @@ def parse(page: str) -> Node:
 
     def add(text):
         nonlocal linked
-        run.append(text)
+        run.append(_html.unescape(text) if "&" in text else text)
         if link:
             linked += len(text)
 
+    def enter(node):
+        nonlocal at
+        at.kids.append(node)
+        at = node
+        places.setdefault(node.tag, []).append(len(opened))
+        if node.tag in _SCOPE:
+            scopes.append(len(opened))
+        opened.append(node)
+
     def close(tag) -> bool:
+        """Ends the innermost open ``tag`` and all that is open inside it."""
         nonlocal at
-        node = at
-        while node is not root and node.tag != tag:
-            if tag in ("p", "li", "dt", "dd") and node.tag in _SCOPE and node.tag != tag:
-                return False
-            node = node.parent
-        if node is root:
+        if not places.get(tag):
+            return False
+        place = places[tag][-1]
+        if tag in ("p", "li", "dt", "dd") and scopes and scopes[-1] > place:
             return False
         flush()
-        at = node.parent
+        at = opened[place].parent
+        while len(opened) > place:
+            gone = opened.pop().tag
+            places[gone].pop()
+            if gone in _SCOPE:
+                scopes.pop()
         return True
 
     pos = 0
@@ -151,10 +172,12 @@ def parse(page: str) -> Node:
         attributes = m[3] or m[6] or ""
         if tag in RAW:
             if not ending and not attributes.endswith("/"):
-                end = re.compile(f"</{tag}(?=[\\s/>])[^>]*+(?:>|\\Z)", re.IGNORECASE).search(page, pos)
+                end = None if tag in endless else re.compile(f"</{tag}(?=[\\s/>])[^>]*+(?:>|\\Z)", re.IGNORECASE).search(page, pos)
                 if end:
                     pos = end.end()
-                elif tag not in ("head", "template", "svg", "math", "object", "select", "button"):
+                    continue
+                endless.add(tag)
+                if tag not in ("head", "template", "svg", "math", "object", "select", "button"):
                     pos = size
             continue
         if tag in VOID:
@@ -180,8 +203,7 @@ def parse(page: str) -> Node:
         flush()
         if tag in ("html", "body"):
             if tag == "body" and at is root:
-                at = Node("body", root, *_attributes(attributes)[:2])
-                root.kids.append(at)
+                enter(Node("body", root, *_attributes(attributes)[:2]))
             continue
         close("p")
         for other in _SHUT.get(tag, ()):
@@ -189,8 +211,7 @@ def parse(page: str) -> Node:
         good, bad, hidden = _attributes(attributes) if attributes else (0, 0, False)
         node = Node(tag, at, good, bad)
         node.hidden = hidden
-        at.kids.append(node)
-        at = node
+        enter(node)
     flush()
     return root
 
@@ -395,8 +416,9 @@ def training_pages(count: int, seed: int = 11):
         yield f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{''.join(head)}{core}{''.join(tail)}{end}", main
 
 
+@functools.cache
 def train(pages: int = 500, seed: int = 11) -> Boosted:
-    """A node is labelled 1 if all texts below it are main text, and is left out where they differ."""
+    """The trees; equal arguments give equal trees, so a process trains them once. A node is labelled 1 if all texts below it are main text, and is left out where they differ."""
     xs, ys = [], []
     for page, main in training_pages(pages, seed):
         nodes = nodes_of(parse(page))
