@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, decontam, html_extract, license_scan, lm, neardup, pii, quality, toxicity, warc
 from .common import table
 
-#: where the public vocabulary files lie; the driver reads them and broadcasts what they hold
-TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer_path() -> str:
+    """The public vocabulary file; the driver reads it and broadcasts what it holds."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +30,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +57,21 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
 
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that SQL can express."""
+    return op2_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in pii.BASE))
+
+
+def quality_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 that SQL can express."""
+    return op7_quality(spark, sf_dir).select("doc_id", *quality.FIGURES, "base_failed")
+
+
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can express."""
+    return op8_license(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
@@ -65,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license": op8_license,
     "op9_near_dup": op9_near_dup,
     "op10_html": op10_html,
+    "pii_counts": pii_counts,
+    "quality_figures": quality_figures,
+    "license_places": license_places,
 }
 
 #: DuckDB SQL for the same rows
@@ -80,6 +101,52 @@ select p.page_id, p.payload_bytes, p.payload_digest,
   case when f.first is not null and p.page_id is distinct from f.first then 'revisit' else 'response' end as record_type,
   case when p.page_id is distinct from f.first then f.first end as refers_to
 from p left join f using (payload_digest)
+""",
+    "pii_counts": r"""
+with m as (
+  select doc_id,
+    len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) as n_email,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: string_split(x, '.')) as ips,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) as cards,
+    list_transform(regexp_extract_all(coalesce(text, ''), '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) as phones
+  from documents
+)
+select doc_id, n_email,
+  len(list_filter(ips, lambda p: len(list_filter(p, lambda x: length(ltrim(x, '0')) > 3 or cast('0' || right(ltrim(x, '0'), 3) as int) > 255)) = 0)) as n_ip,
+  len(list_filter(cards, lambda d: length(d) between 16 and 19 and list_sum(list_transform(range(length(d)),
+    lambda i: (1 + i % 2) * cast(substring(d, length(d) - i, 1) as int) - case when i % 2 = 1 and substring(d, length(d) - i, 1) > '4' then 9 else 0 end)) % 10 = 0)) as n_card,
+  len(list_filter(phones, lambda d: length(d) between 8 and 15)) as n_phone
+from m
+""",
+    "quality_figures": r"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+  from documents
+), g as (
+  select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from d, unnest(range(1, len(w) - 1)) as u(i)
+), again as (
+  select r, i from (select r, i, count(*) over (partition by r, g) as c from g) where c > 1
+), n as (
+  select r, count(distinct p) as n from (select r, unnest([i, i + 1, i + 2]) as p from again) group by r
+)
+select doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words,
+  len(w) < 50 or 100 * coalesce(n, 0) > 50 * len(w) as base_failed
+from d left join n using (r)
+""",
+    "license_places": r"""
+with d as (
+  select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents
+), p(phrase, n, label) as (
+  values ('cc by', 2, 'cc-by'), ('general public license', 3, 'gpl'), ('all rights reserved', 3, 'reserved')
+), hit as (
+  select r, i - 1 as place, label from d, p, unnest(range(1, len(w) - n + 2)) as u(i) where w[i] = split_part(phrase, ' ', 1) and array_to_string(w[i : i + n - 1], ' ') = phrase
+), f as (
+  select r, count(*) as n_base, min(place) as first_word, max(place) as last_word, string_agg(distinct label, ',' order by label) as base_labels from hit group by r
+)
+select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels from d left join f using (r)
 """,
     "op9_near_dup": r"""
 with recursive d as (
