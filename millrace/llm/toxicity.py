@@ -5,8 +5,9 @@ of them, whatever the corpus. The model is fitted on a bounded sample of labelle
 smallest hashes of their ids, and at most twice as many different texts of them: one of each id, then those with
 the smallest hashes); it then scores every whole text. Without a labelled row every score is 0.
 
-Null texts are scored as empty ones. Labels of a repeated id count once (the larger one). Null labels and
-null ids are not learnt from.
+Null texts are scored as empty ones, very long texts whole. Labels of a repeated id count once (the larger one). Null
+labels and null ids are not learnt from. Repeated documents are scored each; equal rows of an id are learnt from once. Without
+documents there is no row. Columns besides pass through; one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import ALNUM, bucket, discard, map_columns, saved, with_columns
 
 BITS = 20
 #: labelled rows that the model is fitted on, at most
-MAX_ROWS = 4000
+MAX_ROWS = 10_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _SHIFT = np.uint64(64 - BITS)
 
