@@ -11,9 +11,9 @@ import pytest
 
 from millrace.llm import bpe, decontam, html_extract, license_scan, lm, neardup, pii, quality, toxicity, warc
 from millrace.llm.common import saved
-from millrace.llm.queries import TOKENIZERS
+from millrace.llm.queries import tokenizer_path
 
-PATH = f"{TOKENIZERS}/byte_bpe_50k.json"
+PATH = tokenizer_path()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -96,6 +96,26 @@ def test_decontamination_beyond_the_broadcast(spark, monkeypatch):
     check_hits(spark, [(1, items[0][1]), (2, "x " + items[3][1] + " y"), (3, "x")], items)
 
 
+def test_repetitive_texts_make_few_rows(spark):
+    """Rows grow with the length of a text, never with its product with an item."""
+    text, item = "same " * 20_000, "same " * 1000
+    df = decontam._docs(docs(spark, (1, text)))
+    assert decontam.fingerprints(df, [13]).count() <= 20_000 / decontam.RUN + 2
+    items = decontam.prepared(spark.createDataFrame([(7, item)], "item_id long, text string"))
+    heads, runs = decontam.touched(df, decontam.marks(items, 13, "m").selectExpr("span", "explode(m) as mark").distinct(), [13])
+    assert heads.count() == 1 and decontam.windows(runs).count() <= 20_000 + decontam.RUN
+    check_hits(spark, [(1, text), (2, "other " + text)], [(7, item), (8, "same " * 14)])
+
+
+def test_winnowing_keeps_few_rows_and_misses_no_span(spark):
+    rng = random.Random(9)
+    text = " ".join(f"w{rng.randint(0, 3000)}" for _ in range(8000))
+    df = decontam._docs(docs(spark, (1, text)))
+    assert decontam.fingerprints(df, [13]).count() < 0.35 * 8000
+    words = text.split()
+    check_hits(spark, [(1, text)], [(k, " ".join(["q", *words[k * 19 : k * 19 + 13], "q"])) for k in range(300)])
+
+
 def test_decontamination_of_nothing(spark):
     check_hits(spark, ODD[:4], [])
     check_hits(spark, [], [(1, "a b c")])
@@ -155,21 +175,41 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("rule", [neardup.Rule(3, 85), neardup.Rule()])
+@pytest.mark.parametrize("rule", [neardup.Rule(3, 85), neardup.Rule(), neardup.Rule(3, 85, neardup.EXACT)])
 def test_near_duplicates(spark, rule):
     rows = near_rows()
     got = Counter(tuple(r) for r in neardup.judged(wide(spark, *rows), rule).collect())
     assert got == Counter(brute_groups(rows, rule.size, rule.percent))
 
 
-def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [1, 1_000_000])
+def test_near_duplicates_in_small_blocks(spark, monkeypatch, limit):
     monkeypatch.setattr(neardup, "BLOCK", 4)
-    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(neardup, "HUB", 3)
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(neardup, "BROADCAST_VALUES", limit)
     rows = near_rows()
     rule = neardup.Rule(3, 85)
     assert Counter(tuple(r) for r in neardup.judged(wide(spark, *rows), rule).collect()) == Counter(brute_groups(rows, 3, 85))
 
 
+def test_rows_grow_with_the_size_of_a_group(spark, monkeypatch):
+    """Near copies of one text meet their pivot once each, not one another."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "HUB", 20)
+    counted = []
+    plain = neardup.candidates
+    monkeypatch.setattr(neardup, "candidates", lambda grouped, *a, **b: counted.append(grouped.count()) or plain(grouped, *a, **b))
+    rng = random.Random(4)
+    words = [f"g{k}" for k in range(120)]
+    far = [f"{w}z" if k % 3 == 0 else w for k, w in enumerate(words)]
+    for n in (200, 400):
+        rows = [(k, edited(rng, words, 1)) for k in range(n)] + [(10_000 + k, edited(rng, far, 1)) for k in range(10)]
+        got = Counter(tuple(r) for r in neardup.judged(wide(spark, *rows), neardup.Rule(3, 85)).collect())
+        assert got == Counter(brute_groups(rows, 3, 85))
+    assert counted[1] <= 2.5 * counted[0] + 100 and max(counted) < 30 * 400
+
+
 def test_failed_edges_lose_no_link(spark, monkeypatch):
     """With useless bounds the forest is mostly wrong: the second pass has to find all links."""
     monkeypatch.setattr(neardup, "BITS", 64)
@@ -216,68 +256,53 @@ def test_base_scores(spark):
     assert got == sorted(map(repr, want))
 
 
-def test_probabilities_sum_to_one_and_rare_words_are_joined(spark, monkeypatch):
-    text = "a a a a b b b c c d " * 3
-    rows = [(k, text + f"x{k}") for k in range(10, 30)]
-    df = docs(spark, *rows)
-    model, _ = lm.train(df)
-    assert model.words[0] == b"" and {b"a", b"b", b"c", b"d"} <= set(model.words)
-    model.start()
-    whole = lm.scored(df).orderBy("doc_id").collect()
-    monkeypatch.setattr(lm, "KEPT", 0.02)  # the words x… are no longer broadcast
-    for a, b in zip(whole, lm.scored(df).orderBy("doc_id").collect()):
-        assert a.n_known == b.n_known and a.base_score == pytest.approx(b.base_score) and a.score == pytest.approx(b.score, rel=1e-6)
-    for word in (b"", b"a", b"b"):
-        h = model.words.index(word)
-        total = 0.0
-        for w in range(len(model.words)):
-            key = h * model.n_core + w
-            hit = [k for k, p in enumerate(model.pairs) if p == key] if w < model.n_core and h < model.n_core else []
-            total += 10 ** (model.two[hit[0]] if hit else model.back[h] + model.one[w])
-        left = 10 ** (model.back[h] + math.log10(max(model.discount * model.kinds, 1) / model.total))
-        assert total + left == pytest.approx(1, abs=0.03)
-
-
 def test_scores_beat_the_base_on_unseen_texts(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = lm.scored(rows).groupBy("held_out").agg({"score": "sum", "base_score": "sum"}).collect()
     assert all(r["sum(score)"] > r["sum(base_score)"] for r in got) and len(got) == 2
 
 
+class BruteModel:
+    """The definition, word by word, from counts of all trigrams of the training texts."""
+
+    def __init__(self, texts):
+        self.one, self.two, self.three, self.after = Counter(), Counter(), Counter(), Counter()
+        for t in texts:
+            w = [*solid(t), None]
+            self.one.update(w)
+            self.after.update(["<s>", *w[:-1]])
+            self.two.update(zip(["<s>", *w], w))
+            self.three.update(zip(["<s>", *w], w, w[1:]))
+        self.total, self.kinds = sum(self.one.values()), len(self.one)
+
+    def p1(self, w):
+        return (self.one[w] + 1) / (self.total + self.kinds + 1)
+
+    def p2(self, v, w):
+        return (self.two[v, w] + lm.K2 * self.p1(w)) / (self.after[v] + lm.K2)
+
+    def p3(self, u, v, w):
+        return (self.three[u, v, w] + lm.K3 * self.p2(v, w)) / (self.two[u, v] + lm.K3)
+
+    def score(self, t):
+        w = ["<s>", *solid(t), None]
+        return math.log10(self.p2(*w[:2])) + sum(math.log10(self.p3(*w[k : k + 3])) for k in range(len(w) - 2))
+
+
 def brute_scores(rows):
-    """Backoff over all bigrams of the training texts, without any cut."""
     held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
-    one, two = Counter(), Counter()
-    for i, t in rows:
-        if not held(i):
-            w = [*solid(t), ""]
-            one.update(w)
-            two.update(zip(["", *w], w))
-    total, ones, twos = sum(one.values()), *(sum(n == k for w, n in one.items() if w) for k in (1, 2))
-    d = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones and twos else lm.DISCOUNT
-    p1 = {w: (n - d) / total for w, n in one.items()}
-    arcs = Counter(h for h, _ in two)
-    freed = Counter()
-    for h, w in two:
-        freed[h] += p1[w]
-    back = {h: lm.DISCOUNT * arcs[h] / one[h] / (1 - freed[h]) for h in arcs}
-    unseen = d * len(one) / total / max(1, ones * ones / (2 * twos) if twos else ones * (ones - 1) / 2)
-    out = []
-    for i, t in rows:
-        w = [*solid(t), ""]
-        pairs = zip(["", *w], w)
-        out.append((i, sum(math.log10((two[p] - lm.DISCOUNT) / one[p[0]] if p in two else back.get(p[0], 1) * p1.get(p[1], unseen)) for p in pairs)))
-    return out
+    model = BruteModel([t for i, t in rows if not held(i)])
+    return [(i, model.score(t)) for i, t in rows]
 
 
-@pytest.mark.parametrize("kept, core, pairs", [(lm.KEPT, lm.CORE, lm.PAIRS), (0.01, 0.05, 0.02), (0.5, 0.6, 0.7)])
-def test_scores_use_all_bigrams(spark, monkeypatch, kept, core, pairs):
-    """What is broadcast decides where an arc is looked up, never whether it counts."""
-    for name, value in (("KEPT", kept), ("CORE", core), ("PAIRS", pairs)):
-        monkeypatch.setattr(lm, name, value)
+@pytest.mark.parametrize("chunk, size", [(lm.CHUNK, lm.BUCKET), (200, 50), (1, 7)])
+def test_scores_use_all_trigrams(spark, monkeypatch, chunk, size):
+    """How texts are dealt out never changes a score."""
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm, "BUCKET", size)
     rng = random.Random(5)
     rows = [(k, " ".join(rng.choice("abcdefgh") * rng.choice((1, 1, 2, 3)) for _ in range(rng.randint(0, 40))) + f" u{k % 50} v{k % 50}") for k in range(120)]
-    rows += [(None, None), (3, "a b"), (3, "a b")]
+    rows += [(None, None), (3, "a b"), (3, "a b"), (7, "a"), (8, LONG), (9, LONG + " x"), (16, " ".join(["a b c"] * 500))]
     key = lambda r: (r[0] is None, r)
     got = sorted(((r.doc_id, r.score) for r in lm.scored(wide(spark, *rows)).collect()), key=key)
     want = sorted(brute_scores(rows), key=key)
@@ -285,6 +310,53 @@ def test_scores_use_all_bigrams(spark, monkeypatch, kept, core, pairs):
     assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9)
 
 
+def test_distributions_sum_to_one():
+    model = BruteModel(["a a b c", "b a c", "c", "a b d d", ""])
+    words = [*model.one, "unseen"]
+    assert sum(map(model.p1, words)) == pytest.approx(1)
+    for v in ("<s>", "a", "d", "unseen"):
+        assert sum(model.p2(v, w) for w in words) == pytest.approx(1)
+        assert sum(model.p3("a", v, w) for w in words) == pytest.approx(1)
+
+
+def walked(model, words):
+    """The automaton of ``model`` (counts of a BruteModel) by its definition: one state, arcs, failure arcs, token by token."""
+    after, fail = {}, {}
+    for u, v, w in model.three:
+        after[(u, v), w] = math.log10(model.p3(u, v, w))
+    for v, w in model.two:
+        after[(v,), w] = math.log10(model.p2(v, w))
+        fail[v, w] = (w,), math.log10(lm.K3 / (model.two[v, w] + lm.K3))
+    for v, n in [*model.one.items(), ("<s>", model.after["<s>"])]:
+        fail[(v,)] = (), math.log10(lm.K2 / ((n if v != "<s>" else model.after[v]) + lm.K2))
+    state, total = ("<s>",) if model.after["<s>"] else (), 0.0
+    for w in [*words, None]:
+        while state and (state, w) not in after:
+            state, weight = fail[state][0], fail[state][1]
+            total += weight
+        total += after[state, w] if state else math.log10(model.p1(w))
+        history = (*state, w)[-2:]
+        while history and not (history in fail):
+            history = history[1:]
+        state = history
+    return total
+
+
+def test_arcs_and_failure_arcs(spark):
+    """The traversal of all tokens at once is that of one state carried along arcs and failure arcs."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices("abcde", k=rng.randint(0, 30))) for _ in range(60)]
+    held = [k % 3 == 0 for k in range(60)]
+    rows = spark.createDataFrame([(k, t + (" new" if h else ""), h) for k, (t, h) in enumerate(zip(texts, held))], "doc_id long, text string, h boolean")
+    c = lm._read(lm.chunks(rows.coalesce(1), "doc_id", "text", rows["h"]).toArrow())
+    brute = BruteModel([t for t, h in zip(texts, held) if not h])
+    model = lm.Automaton(c, c.own(1), c.own(2), c.own(3), brute.total, brute.kinds)
+    assert int(model.is_triple.sum()) == len(brute.three) and int(model.is_pair.sum()) == len(brute.two)
+    want = {k: walked(brute, solid(t + (" new" if h else ""))) for k, (t, h) in enumerate(zip(texts, held))}
+    assert dict(zip(c.ids, model.scores().tolist())) == pytest.approx(want)
+    assert want == pytest.approx({k: brute.score(t + (" new" if h else "")) for k, (t, h) in enumerate(zip(texts, held))})
+
+
 def test_language_model_of_nothing(spark):
     assert lm.scored(docs(spark)).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
@@ -333,6 +405,23 @@ def test_toxicity_sample_is_bounded_in_rows(spark, monkeypatch):
     assert sorted(learnt) == [0] * 5 + [1] * 3
 
 
+# ------------------------------------------------------------------ quality
+
+
+def test_quality_sample_covers_all_partitions(spark, monkeypatch):
+    """The order of the rules depends on the table, not on how its rows are dealt out or repeated."""
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(20 + k % 90))) for k in range(300)] + [(1000 + k, "AA BB " * 60) for k in range(300)]
+    a = [p for p in quality.sampled(docs(spark, *rows).repartition(5), rows=100)]
+    b = [p for p in quality.sampled(docs(spark, *rows, *rows[300:]).repartition(2), rows=100)]
+    assert a == b and len(a) == 100
+    assert len(quality.sampled(docs(spark, *rows))) == 301
+    assert quality.sampled(docs(spark)) == []
+    plain = {r.doc_id: (r.kept, r.rejected_by) for r in quality.judge(docs(spark, *rows), figures=False).collect()}
+    full = {r.doc_id: (r.kept, r.rejected_by) for r in quality.judge(wide(spark, *rows)).collect()}
+    assert plain == full
+    assert quality.judge(docs(spark, *rows), figures=False).agg({"work": "sum"}).first()[0] > 0
+
+
 # ------------------------------------------------------------------ the others on odd tables
 
 
@@ -407,6 +496,35 @@ def test_warc_files(spark, tmp_path):
         warc.normalise(spark.createDataFrame([(f"file://{tmp_path}/w/cut.warc.gz",)], "path string"))
 
 
+def test_warc_second_attempts(spark, tmp_path):
+    """A task that is run again finds its files and leaves the same ones."""
+    rows = [(k, f"http://x/{k % 3}", "<p>same</p>" * 20) for k in range(9)] + [(9, "u", "other")]
+    pages = warc.with_references(spark.createDataFrame(rows, PAGES)).coalesce(1)
+    first = warc.normalise(warc.write_archives(pages, f"file://{tmp_path}/w")).collect()
+    before = {f.name: f.read_bytes() for f in (tmp_path / "w").iterdir()}
+    again = warc.normalise(warc.write_archives(pages, f"file://{tmp_path}/w"))
+    assert again.collect() == first and {f.name: f.read_bytes() for f in (tmp_path / "w").iterdir()} == before
+    whole = b"".join(warc._inflated(open(first[0].path.removeprefix("file://"), "rb"))).decode()
+    ids, named = re.findall(r"WARC-Record-ID: (\S+)", whole), re.findall(r"WARC-Refers-To: (\S+)", whole)
+    assert len(set(ids)) == 10 and named == [warc.record_id(0, sha256(rows[0][2].encode()).hexdigest())] * 8 and named[0] in ids
+
+
+def test_each_file_is_a_task(spark):
+    paths = spark.createDataFrame([(f"p{k}",) for k in range(13)], "path string").repartition(5)
+    assert [len(x) for x in warc._each_file(paths).rdd.glom().collect()] == [1] * 13
+
+
+def test_long_rows_come_in_small_slices():
+    import pyarrow as pa
+
+    from millrace.llm.common import SLICE, pieces
+
+    b = pa.RecordBatch.from_pydict({"t": ["x" * (SLICE // 4)] * 20 + ["y"] * 20})
+    sizes = [p.num_rows for p in pieces(b, 1000)]
+    assert sum(sizes) == 40 and max(sizes) <= 8
+    assert [p.num_rows for p in pieces(pa.RecordBatch.from_pydict({"t": ["y"] * 2500}), 1000)] == [1000, 1000, 500]
+
+
 def test_html_table(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<article><p>a  b</p><p>c</p></article>"), (3, "u", "<nav>x</nav>"), (3, "u", "<nav>x</nav>")]
     df = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 as text", "2 as n_chars")
@@ -420,3 +538,26 @@ def test_html_table(spark):
 def test_saved_tables_stay_readable(spark):
     df = saved(spark.range(5))
     assert df.count() == 5 and df.inputFiles()
+
+
+def test_scratch_tables_are_removed(spark):
+    """After an operator only its result is left in the shared folder."""
+    from pathlib import Path
+
+    from millrace.llm.common import discard, tidied
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "millrace"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    bench = spark.createDataFrame([(1, "a b c a b c a b c a b c a b c")], "item_id long, text string")
+    pages = spark.createDataFrame([(1, "u", "x" * 200)], PAGES)
+    with tidied():
+        for f in (lambda: neardup.groups(docs(spark, *near_rows()[:40])), lambda: lm.scored(docs(spark, *ODD)), lambda: decontam.judged(docs(spark, *ODD), bench), lambda: warc.archived(pages)):
+            left = set(folder.iterdir()) if folder.exists() else set()
+            assert f().count() and len(set(folder.iterdir()) - left) == 1
+    assert set(folder.iterdir()) == before
+    with pytest.raises(ValueError), tidied():
+        saved(spark.range(2))
+        raise ValueError
+    one = saved(spark.range(2))
+    discard(one)
+    assert set(folder.iterdir()) == before
