@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontam, neardup, pii
 from millrace.llm import toxicity as tox
-from millrace.llm.common import saved, table, unused
-from millrace.llm.queries import TOKENIZERS
+from millrace.llm.common import saved, table, tidied, unused
+from millrace.llm.queries import tokenizer_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.tokenise(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.tokenise(docs, tokenizer_path())
 
 
 STAGES = [
@@ -57,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        with tidied():
+            docs = saved(stage(spark, docs, sf_dir), name, keep=True)
     return docs
