@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontam, neardup, pii
 from millrace.llm import toxicity as tox
-from millrace.llm.common import saved, table, tidied, unused
+from millrace.llm.common import discard, saved, table, tidied, unused
 from millrace.llm.queries import tokenizer_path
 
 
@@ -58,5 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         with tidied():
-            docs = saved(stage(spark, docs, sf_dir), name, keep=True)
+            out = saved(stage(spark, docs, sf_dir), name, keep=True)
+        discard(docs)
+        docs = out
     return docs
