@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontam, html_extract, license_scan, lm, neardup, pii, quality, toxicity, warc
 from .common import table
@@ -72,6 +73,16 @@ def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_license(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5, scores rounded: sums of logarithms differ in their last digits."""
+    out = op5_lm_score(spark, sf_dir)
+    return out.withColumns({c: F.round(c, 3) for c in ("base_score", "score")})
+
+
+#: crc32 of an id as text, by its definition bit by bit
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(list_filter(string_split(coalesce(cast(doc_id as varchar), ''), ''), lambda x: x <> ''), lambda x: cast(ascii(x) as bigint))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda a, i: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)), 4294967295)"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
@@ -86,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pii_counts": pii_counts,
     "quality_figures": quality_figures,
     "license_places": license_places,
+    "lm_scores": lm_scores,
 }
 
 #: DuckDB SQL for the same rows
@@ -147,6 +159,34 @@ with d as (
   select r, count(*) as n_base, min(place) as first_word, max(place) as last_word, string_agg(distinct label, ',' order by label) as base_labels from hit group by r
 )
 select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels from d left join f using (r)
+""",
+    "lm_scores": rf"""
+with d as (
+  select row_number() over () as r, doc_id, {_CRC} % 7 = 2 as held_out,
+    list_concat([' start'], list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), [' end']) as w
+  from documents
+), t as (
+  select r, held_out, w[i] as c, w[i - 1] as b, case when i > 2 then w[i - 2] end as a from d, unnest(range(2, len(w) + 1)) as u(i)
+), one as (
+  select c, count(*) as n1 from t where not held_out group by c
+), history as (
+  select b, count(*) as after from t where not held_out group by b
+), two as (
+  select b, c, count(*) as n2 from t where not held_out group by b, c
+), three as (
+  select a, b, c, count(*) as n3 from t where not held_out and a is not null group by a, b, c
+), k as (
+  select coalesce(sum(n1), 0) as total, count(*) as kinds from one
+), p as (
+  select r, a, n1, (coalesce(n1, 0) + 1) / (total + kinds + 1) as p1, coalesce(two.n2, 0) as n2, coalesce(after, 0) as after, coalesce(n3, 0) as n3, coalesce(ab.n2, 0) as before
+  from t cross join k left join one using (c) left join history using (b) left join two using (b, c) left join three using (a, b, c)
+    left join two ab on ab.b = t.a and ab.c = t.b
+), q as (
+  select *, (n2 + {lm.K2} * p1) / (after + {lm.K2}) as p2 from p
+), s as (
+  select r, count(*) as n_tokens, count(n1) as n_known, sum(log10(p1)) as base, sum(log10(case when a is null then p2 else (n3 + {lm.K3} * p2) / (before + {lm.K3}) end)) as score from q group by r
+)
+select doc_id, held_out, n_tokens, n_known, cast(total as bigint) as train_tokens, round(base, 3) as base_score, round(score, 3) as score from d join s using (r) cross join k
 """,
     "op9_near_dup": r"""
 with recursive d as (
