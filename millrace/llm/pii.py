@@ -234,5 +234,5 @@ def digest(found: DataFrame, spans: str = "spans") -> DataFrame:
         *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(F.array_join(F.transform(of(*BASE), line), ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.transform(spans, line), ",").alias("spans"),
-        F.array_join(F.transform(spans, lambda x: F.format_number(x["score"], "0.0")), ",").alias("scores"),
+        F.array_join(F.transform(spans, lambda x: F.round(x["score"], 1).cast("string")), ",").alias("scores"),
     )
