@@ -10,19 +10,28 @@ fewer words the whole sequence is one shingle. Documents are linked when 100 * |
    rarest of either sketch (prefix filter; the rarity of every value is counted). For sets whose union fits the
    sketch t is exact; else t lies 5.5 standard deviations below the mean overlap at the threshold. Values in a
    single sketch make no list.
-4. Lists are compared in blocks of ``BLOCK`` classes, so no list, however long, meets in one task. A pair that
+4. Lists of more than ``BLOCK`` classes have a pivot, their first class. Each member that passes the filter of step 3
+   against it is verified, so near copies of one text hang together after one comparison each; pairs that already
+   hang together are not compared again, and a list whose members all do is done.
+5. Lists are compared in blocks of ``BLOCK`` classes, so no list, however long, meets in one task. In a long list the
+   largest part that hangs together fills blocks of its own, which meet only the blocks of the other members. A pair that
    shares several lists is compared in the first of them only. Differing
    parity bits bound the symmetric difference from below: pairs beyond the bound cannot be linked. Of the others
    a spanning forest is handed on, not all pairs, and besides all pairs of rows that have few and only doubtful
    ones. The estimate from the union of two sketches filters these edges.
-5. Edges are verified on the full sets. Where one of the forest fails between parts that stay apart, all remaining
+6. Edges are verified on the full sets. Where one of the forest fails between parts that stay apart, all remaining
    pairs of that block which the bounds allow are verified as well, so no link is lost.
-6. Connected components by large-star and small-star steps on tables.
+7. Connected components by large-star and small-star steps on tables.
 
-Broadcasts (row numbers) are limited by ``BROADCAST_ROWS``; beyond it the same join is shuffled. A document
-without words or text has an empty set and is linked with nothing. Without an id a document can be linked,
-but is never the smallest; where a whole group has no id its component_id is null. Repeated rows are exact
-copies. Ties don't arise: components are named by their smallest id.
+Sketches of more values are exact for larger sets; with ``Rule(k=EXACT)`` a sketch is the whole set, so the bound of
+step 3 holds for all sets and nothing rests on probability. Broadcasts are limited by ``BROADCAST_ROWS`` and
+``BROADCAST_VALUES``, which are counted first; beyond them the same join is shuffled. Keys of more than ``HUB`` rows (large
+groups, hubs of components) are looked up in such a broadcast, so they don't meet in one task.
+
+A document without words or text has an empty set and is linked with nothing; without documents there is no row. Very
+long texts are taken whole. Without an id a document can be linked, but is never the smallest; where a whole group has
+no id its component_id is null. Repeated rows are exact copies. Ties don't arise: components are named by their
+smallest id. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,17 +42,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, given_back, saved, unused, without
+from .common import discard, given_back, saved, tidied, unused, without
 
 BLOCK = 512
 BITS = 2048
 #: allowed pairs of a doubtful row up to which all are verified at once
 FEW = 16
-#: row numbers that are broadcast at most (16 bytes each)
-BROADCAST_ROWS = 2_000_000
+#: row numbers that are broadcast at most (16 bytes each), and hashes of sets (8 bytes each)
+BROADCAST_ROWS, BROADCAST_VALUES = 2_000_000, 4_000_000
+#: rows of a key from which it is hot
+HUB = 500
+#: a sketch size that no set exceeds
+EXACT = 1 << 31
 _M, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -64,6 +77,10 @@ class Rule:
         j = self.percent / 100
         return max(1, int(self.k * j - self.sigmas * (self.k * j * (1 - j)) ** 0.5))
 
+    def shared(self, n: Column) -> Column:
+        """How many of its retained values a set of ``n`` shares with a partner at least."""
+        return F.when(n <= self.exact_up_to, F.ceil(n * self.percent / 100)).otherwise(self.least)
+
 
 def shingles(text: str | None, size: int, known: dict[bytes, int]) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
@@ -154,8 +171,7 @@ def inverted_lists(reps: DataFrame, rule: Rule) -> DataFrame:
     shared = entry.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
     own = entry.join(shared, "v").groupBy("row").agg(F.first("n").alias("n"), F.collect_list(F.struct("c", "v")).alias("l"))
     kept = F.least(F.col("n"), F.lit(rule.k))
-    t = F.when(F.col("n") <= rule.exact_up_to, F.ceil(F.col("n") * rule.percent / 100)).otherwise(rule.least)
-    take = (kept - t + 1 - (kept - F.size("l"))).cast("int")  # values of no other sketch come first and make no list
+    take = (kept - rule.shared(F.col("n")) + 1 - (kept - F.size("l"))).cast("int")  # values of no other sketch come first and make no list
     prefix = own.withColumn("take", take).where("take > 0").select("row", F.slice(F.array_sort("l"), F.lit(1), F.col("take")).alias("l"))
     own = prefix.select("row", F.transform("l", lambda x: x["v"]).alias("own"))
     rows = own.select(F.explode_outer("own").alias("v"), "row", "own")
@@ -163,13 +179,64 @@ def inverted_lists(reps: DataFrame, rule: Rule) -> DataFrame:
     return rows.join(long, "v")
 
 
-def blocks(lists: DataFrame, payload: DataFrame) -> DataFrame:
-    """(v, i, j, row, side, own, n, sketch, parity): each list cut into pairs of blocks of about BLOCK classes."""
-    b = F.ceil(F.col("m") / BLOCK).cast("int")
-    cut = lists.withColumn("b", b).withColumn("side", F.pmod(F.xxhash64("row"), F.col("b")).cast("int"))
-    spread = cut.withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("b") - 1)))
-    i, j = F.least("side", "other"), F.greatest("side", "other")
-    return spread.select("v", i.alias("i"), j.alias("j"), "row", "side", "own").join(payload, "row")
+def hot_join(left: DataFrame, right: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join with ``right``, whose column ``n`` tells how many rows of ``left`` its key has (it is dropped).
+
+    Hot keys are broadcast if they are few enough; adaptive execution has to split them otherwise.
+    """
+    hot = saved(right.where(F.col(n) > HUB).drop(n), "hot")
+    found = hot.limit(BROADCAST_ROWS + 1).count()
+    if not 0 < found <= BROADCAST_ROWS:
+        discard(hot)
+        return left.join(right.drop(n), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(n) <= HUB).drop(n), key)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def pivot_pairs(lists: DataFrame, sketched: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): the pivots of long lists (a) and the members of these lists that share enough values with them."""
+    long = lists.where(F.col("m") > BLOCK)
+    pivots = long.groupBy("v").agg(F.min("row").alias("a"))
+    pairs = saved(long.select("v", F.col("row").alias("b")).join(_small(saved(pivots, "pivots")), "v").where("a < b").select("a", "b").distinct(), "pivoted")
+    side = lambda c: sketched.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    hubs = side("a").join(_small(saved(pairs.select("a").distinct(), "hubs")), "a", "left_semi")
+    few = hubs.agg(F.coalesce(F.sum(F.size("s_a")), F.lit(0))).first()[0] <= BROADCAST_VALUES
+    both = pairs.join(side("b"), "b").join(F.broadcast(hubs) if few else hubs, "a")
+    a, b = F.col("n_a"), F.col("n_b")
+    near = (F.least(a, b) * 100 >= F.greatest(a, b) * rule.percent) & (F.size(F.array_intersect("s_a", "s_b")) >= F.least(rule.shared(a), rule.shared(b)))
+    return saved(both.where(near).select("a", "b"), "near")
+
+
+def cut(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(v, i, j, row, side, own, label): each list as pairs of blocks of about BLOCK classes.
+
+    roots: (node, root) of classes that already hang together. In long lists the largest part has the first blocks, which
+    only meet blocks of other members.
+    """
+    own = {"label": F.col("row"), "big": F.lit(0).cast("long"), "mine": F.lit(False)}
+    if roots is None:
+        lists = lists.withColumns(own)
+    else:
+        long = lists.where(F.col("m") > BLOCK).join(roots.select(F.col("node").alias("row"), "root"), "row", "left")
+        long = long.withColumn("label", F.coalesce("root", "row")).drop("root")
+        parts = long.groupBy("v", "label").agg(F.count("*").alias("n"))
+        largest = saved(parts.groupBy("v").agg(F.max(F.struct("n", "label")).alias("l")).select("v", F.col("l.n").alias("big"), F.col("l.label").alias("part")), "largest")
+        long = long.join(_small(largest), "v").withColumn("big", F.when(F.col("big") > 1, F.col("big")).otherwise(0))
+        long = long.withColumn("mine", (F.col("big") > 0) & (F.col("label") == F.col("part"))).drop("part")
+        lists = lists.where(F.col("m") <= BLOCK).withColumns(own).unionByName(long)
+    lists = lists.where("m > big")  # else all members hang together
+    of = lambda n: F.ceil(n / BLOCK).cast("int")
+    lists = lists.withColumn("first", of(F.col("big"))).withColumn("more", of(F.col("m") - F.col("big")))
+    h = F.xxhash64("row")
+    side = F.when(F.col("mine"), F.pmod(h, F.greatest("first", F.lit(1)))).otherwise(F.col("first") + F.pmod(h, F.col("more"))).cast("int")
+    least = F.when(F.col("mine"), F.col("first")).otherwise(0)
+    spread = lists.withColumn("side", side).withColumn("other", F.explode_outer(F.sequence(least, F.col("first") + F.col("more") - 1)))
+    return spread.select("v", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "row", "side", "own", "label")
+
+
+def blocks(lists: DataFrame, payload: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """The rows of ``cut`` with n, sketch and parity."""
+    return cut(lists, roots).join(payload, "row")
 
 
 def _estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +273,7 @@ def compare(n, parity, sketch, side, label, before, rule: Rule, everything: bool
     side: block of each row where two blocks meet; None: one block. before: pairs that another list compares. A pair is allowed if the bounds don't
     exclude a link. A row is doubtful if none of its pairs lies clearly inside the bounds. All allowed pairs
     of doubtful rows with few of them are edges; of the other rows a spanning forest of their allowed pairs.
-    With ``everything`` all allowed pairs between different labels are edges.
+    Pairs of one label hang together already. With ``everything`` all allowed pairs are edges.
     """
     m = len(n)
     p = rule.percent
@@ -222,8 +289,7 @@ def compare(n, parity, sketch, side, label, before, rule: Rule, everything: bool
         ok &= 100 * np.minimum(n[rows, None], n[None, :]) >= p * np.maximum(n[rows, None], n[None, :])
         if side is not None:
             ok &= side[rows, None] != side[None, :]
-        if everything:
-            ok &= label[rows, None] != label[None, :]
+        ok &= label[rows, None] != label[None, :]
         if before is not None:
             ok &= ~before[rows]
         ok[np.arange(ok.shape[0]), np.arange(at, at + ok.shape[0])] = False
@@ -281,8 +347,8 @@ def _forest(far: np.ndarray):
 
 
 def candidates(grouped: DataFrame, rule: Rule, everything: bool = False) -> DataFrame:
-    """(v, i, j, a, b, fine, forest) from the rows of ``blocks`` (with a label for ``everything``)."""
-    cols = ["v", "i", "j", "row", "side", "own", "n", "sketch", "parity", *(["label"] if everything else [])]
+    """(v, i, j, a, b, fine, forest) from the rows of ``blocks``."""
+    cols = ["v", "i", "j", "row", "side", "own", "n", "sketch", "parity", "label"]
     parts = max(1, int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = grouped.select(*cols).repartition(parts, "v", "i", "j").sortWithinPartitions("v", "i", "j")
 
@@ -291,13 +357,14 @@ def candidates(grouped: DataFrame, rule: Rule, everything: bool = False) -> Data
         t = t.take(pa.array(order))
         row, n = t["row"].to_numpy(), t["n"].to_numpy()
         parity = np.frombuffer(b"".join(t["parity"].to_pylist()), dtype=np.uint64).reshape(len(row), -1)
-        sketch = np.full((len(row), rule.k), np.iinfo(np.uint64).max, dtype=np.uint64)
         lists = t["sketch"].combine_chunks()
         sizes = np.diff(lists.offsets.to_numpy())
-        sketch[np.arange(rule.k)[None, :] < sizes[:, None]] = lists.flatten().to_numpy().view(np.uint64)
+        width = min(rule.k, int(sizes.max()))
+        sketch = np.full((len(row), width), np.iinfo(np.uint64).max, dtype=np.uint64)
+        sketch[np.arange(width)[None, :] < sizes[:, None]] = lists.flatten().to_numpy().view(np.uint64)
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         side = t["side"].to_numpy() if i != j else None
-        label = t["label"].to_numpy() if everything else None
+        label = t["label"].to_numpy()
         before = met_before(t["own"].combine_chunks(), t["v"][0].as_py())
         a, b, fine, forest = compare(n, parity, sketch, side, label, before, rule, everything)
         low, high = np.minimum(row[a], row[b]), np.maximum(row[a], row[b])
@@ -342,8 +409,16 @@ def verified(edges: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, linked): exact similarity of the full sets."""
     left = sets.select(F.col("row").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("row").alias("b"), F.col("hashes").alias("y"))
+    degree = edges.groupBy("a").agg(F.count("*").alias("c"))
+    hubs = saved(left.join(_small(saved(degree.where(F.col("c") > HUB).select("a"), "hubs")), "a", "left_semi"), "hub_sets")
+    values = hubs.agg(F.coalesce(F.sum(F.size("x")), F.lit(0))).first()[0]
+    if 0 < values <= BROADCAST_VALUES:
+        first = edges.join(right, "b").join(F.broadcast(hubs), "a")
+        with_x = edges.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(left, "a").join(right, "b").unionByName(first)
+    else:
+        with_x = edges.join(left, "a").join(right, "b")
     both = F.size(F.array_intersect("x", "y"))
-    return edges.join(left, "a").join(right, "b").select(
+    return with_x.select(
         "a", "b", (both * 100 >= rule.percent * (F.size("x") + F.size("y") - both)).alias("linked")
     )
 
@@ -381,12 +456,12 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("r"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("r").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("r"), F.count("*").alias("c"))
+        large = hot_join(both, low, "a", "c").where("b > a").select(F.col("b").alias("a"), F.col("r").alias("b")).distinct()
         large = saved(large, "large")
-        low = large.groupBy("a").agg(F.min("b").alias("r"))
-        small = large.join(low, "a").where("b <> r").select(F.col("b").alias("a"), F.col("r").alias("b"))
-        step = saved(small.unionByName(low.withColumnRenamed("r", "b")).distinct(), "small")
+        low = large.groupBy("a").agg(F.min("b").alias("r"), F.count("*").alias("c"))
+        small = hot_join(large, low, "a", "c").where("b <> r").select(F.col("b").alias("a"), F.col("r").alias("b"))
+        step = saved(small.unionByName(low.select("a", F.col("r").alias("b"))).distinct(), "small")
         after = state(step)
         discard(large, e)
         e = step
@@ -398,7 +473,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """One row per document: row, doc_id, th (hash of the text), n_shingles, component_id and group (null: no words)."""
+    """One row per document: row, doc_id, th (hash of the text), n_shingles, component_id and group (null: no words).
+
+    The result is a saved table; all that it was made from is deleted.
+    """
+    with tidied():
+        return saved(_groups(documents, rule), "groups", keep=True)
+
+
+def _groups(documents: DataFrame, rule: Rule) -> DataFrame:
     all_ = saved(sketches(documents, rule), "sketches")
     with_words = all_.where("n > 0")
     classes = saved(with_words.groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "classes")
@@ -408,12 +491,19 @@ def groups(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     )
     reps = with_words.join(_small(copies), "row", "left_anti")
     lists = saved(inverted_lists(reps, rule), "lists")
+    tested = parts = None
+    if lists.where(F.col("m") > BLOCK).limit(1).count():
+        pairs = pivot_pairs(lists, all_.select("row", "n", "sketch"), rule)
+        tested = saved(verified(pairs, _sets_of(pairs, all_, documents, rule), rule), "attached")
+        parts = saved(components(tested.where("linked")), "parts")
     listed = saved(lists.select("row").distinct(), "listed")
     payload = all_.select("row", "n", "sketch", "parity").join(_small(listed), "row", "left_semi")
-    grouped = blocks(lists, payload)
+    grouped = blocks(lists, payload, parts)
     edges = saved(candidates(grouped, rule), "candidates")
-    pairs = saved(edges.where("fine").select("a", "b").distinct(), "pairs")
-    tested = saved(verified(pairs, _sets_of(pairs, all_, documents, rule), rule), "tested")
+    pairs = edges.where("fine").select("a", "b").distinct()
+    pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    seen = verified(pairs, _sets_of(pairs, all_, documents, rule), rule)
+    tested = saved(seen if tested is None else seen.unionByName(tested), "tested")
     roots = saved(components(tested.where("linked")), "roots")
 
     # blocks in which an edge of the forest failed between parts that are still apart
@@ -424,17 +514,19 @@ def groups(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     )
     again = saved(apart.select("v", "i", "j").distinct(), "again")
     if again.limit(1).count():
-        rows = grouped.join(again, ["v", "i", "j"], "left_semi").join(roots.withColumnsRenamed({"node": "row", "root": "label"}), "row", "left")
+        rows = grouped.drop("label").join(again, ["v", "i", "j"], "left_semi").join(roots.withColumnsRenamed({"node": "row", "root": "label"}), "row", "left")
         rows = rows.withColumn("label", F.coalesce("label", "row"))
         more = candidates(rows, rule, everything=True).where("fine").select("a", "b").distinct()
         more = saved(more.join(tested, ["a", "b"], "left_anti"), "more")
         also = verified(more, _sets_of(more, all_, documents, rule), rule).where("linked")
         roots = saved(components(tested.where("linked").unionByName(also)), "roots")
 
-    named = classes.join(roots.withColumnRenamed("node", "row"), "row", "left").select("digest", "least_id", F.coalesce("root", "row").alias("root"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "root").select("digest", "component_id", F.col("root").alias("group"))
-    out = all_.select("row", "doc_id", "th", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
+    named = classes.join(roots.withColumnRenamed("node", "row"), "row", "left").select("digest", "least_id", "copies", F.coalesce("root", "row").alias("root"))
+    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("c"))
+    named = hot_join(named, least, "root", "c").select("digest", "component_id", F.col("root").alias("group"), "copies")
+    found = hot_join(all_.where("n > 0"), named, "digest", "copies")
+    none = all_.where("n = 0").withColumns({"component_id": F.lit(None).cast("long"), "group": F.lit(None).cast("long")})
+    out = found.unionByName(none).withColumnRenamed("n", "n_shingles")
     return out.select(
         "row", "doc_id", "th", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -451,7 +543,7 @@ def judged(documents: DataFrame, rule: Rule = Rule(size=3, percent=85)) -> DataF
 
 def deduplicated(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """One document of each group, that of the smallest id; documents without words all stay."""
-    found = saved(groups(documents, rule), "groups").where(F.col("group").isNotNull())
+    found = groups(documents, rule).where(F.col("group").isNotNull())
     stays = found.groupBy("group").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
     first = found.join(stays.select("row"), "row", "left_semi")
     gone = found.join(stays.select("row"), "row", "left_anti").select("doc_id", "th")
