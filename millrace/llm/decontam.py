@@ -9,7 +9,7 @@ text repeats itself). Rows are joined with the distinct hashes of the benchmark.
 each span of words that its windows cover is compared with the spans of the items, word for word, so hits are exact
 whatever the hashes do. Rows grow with the length of the texts, never with the product of a text and an item.
 
-The hashes of the benchmark are broadcast up to ``BROADCAST_ROWS``: then one pass over the documents tokenises them and
+The spans of the benchmark and their hashes are broadcast up to ``BROADCAST_ROWS``, which are counted first: then one pass over the documents tokenises them and
 hands on their numbers of words and the words around hits, nothing else. Beyond it the rows are joined by a shuffle
 (adaptive execution splits hot hashes) and the documents that are hit are read again.
 
@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from .common import only, saved, tidied, without
 
 WINDOW = 13
-#: hashes or spans of the benchmark that are broadcast at most (up to about 150 bytes each)
+#: spans of words of the benchmark that are broadcast at most (up to about 150 bytes each)
 BROADCAST_ROWS = 500_000
 #: windows that a row of equal neighbouring hashes stands for at most
 RUN = 16
@@ -104,14 +104,13 @@ def _near(words: Column) -> Column:
     return F.slice(words, F.col("at") + 1, F.col("span") + (RUN - 1))
 
 
-def _small(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def touched(docs: DataFrame, own: DataFrame, spans: list[int], small: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n_words) of every document; (doc_id, th, at, span, near) of the runs whose hash is in ``own``.
 
-
-def touched(docs: DataFrame, own: DataFrame, spans: list[int]) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, n_words) of every document; (doc_id, th, at, span, near) of the runs whose hash is in ``own``."""
+    small: ``own`` may be broadcast.
+    """
     key = ["span", "mark"]
-    if _small(own):
+    if small:
         known = F.broadcast(own.withColumn("met", F.lit(True)))
         rows = fingerprints(docs, spans).join(known, key, "left").where("head or met")
         near = F.when(F.col("met"), _near(F.col("words")))
@@ -137,7 +136,9 @@ def matched(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     full: whether a window of WINDOW words is hit, not only short items.
     """
-    spans = sorted(r[0] for r in items.select("span").distinct().collect())  # WINDOW values at most
+    n = items.groupBy("span").agg(F.sum(F.size("words") - F.col("span") + 1).alias("n")).collect()  # WINDOW rows at most
+    spans = sorted(r["span"] for r in n)
+    small = sum(r["n"] for r in n) <= BROADCAST_ROWS
     if not spans:
         heads = docs.select("doc_id", "th", F.size("words").cast("long").alias("n_words"))
         none = heads.limit(0).select("doc_id", "th", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("full"))
@@ -146,12 +147,13 @@ def matched(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
         DataFrame.unionByName,
         (marks(items.where(F.col("span") == s), s, "m").select("span", F.explode_outer("m").alias("mark")) for s in spans),
     )
-    own = saved(own.distinct(), "marks")
-    owners = saved(windows(items.select("item_id", F.lit(0).alias("at"), "span", F.col("words").alias("near"))).drop("start").distinct(), "owners")
-    contents = saved(owners.select("span", "content").distinct(), "contents")
-    heads, runs = touched(docs, own, spans)
+    keep = (lambda df, name: df) if small else saved
+    own = keep(own.distinct(), "marks")
+    owners = keep(windows(items.select("item_id", F.lit(0).alias("at"), "span", F.col("words").alias("near"))).drop("start").distinct(), "owners")
+    contents = keep(owners.select("span", "content").distinct(), "contents")
+    heads, runs = touched(docs, own, spans, small)
     found = windows(runs).distinct()
-    found = saved(found.join(F.broadcast(contents) if _small(contents) else contents, ["span", "content"], "left_semi"), "found")
+    found = saved(found.join(F.broadcast(contents) if small else contents, ["span", "content"], "left_semi"), "found")
     earlier = Window.partitionBy("doc_id", "th").orderBy("start", "span").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("span")
     covered = found.select("doc_id", "th", "start", "span").distinct().withColumn("done", F.coalesce(F.max(end).over(earlier), F.lit(0)))
@@ -161,8 +163,8 @@ def matched(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = found.select("doc_id", "th", "span", "content").distinct().join(owners.where("item_id is not null"), ["span", "content"])
     named = named.select("doc_id", "th", "item_id").distinct().groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     named = named.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    hit = saved(hit.join(named, hit["doc_id"].eqNullSafe(named["_id"]) & (hit["th"] == named["_th"]), "left").select("doc_id", "th", "n_hit", "items", "full"), "hits")
-    return heads, hit
+    hit = hit.join(named, hit["doc_id"].eqNullSafe(named["_id"]) & (hit["th"] == named["_th"]), "left")
+    return heads, hit.select("doc_id", "th", "n_hit", "items", "full")
 
 
 def _docs(documents: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def test_repetitive_texts_make_few_rows(spark):
     df = decontam._docs(docs(spark, (1, text)))
     assert decontam.fingerprints(df, [13]).count() <= 20_000 / decontam.RUN + 2
     items = decontam.prepared(spark.createDataFrame([(7, item)], "item_id long, text string"))
-    heads, runs = decontam.touched(df, decontam.marks(items, 13, "m").selectExpr("span", "explode(m) as mark").distinct(), [13])
+    heads, runs = decontam.touched(df, decontam.marks(items, 13, "m").selectExpr("span", "explode(m) as mark").distinct(), [13], True)
     assert heads.count() == 1 and decontam.windows(runs).count() <= 20_000 + decontam.RUN
     check_hits(spark, [(1, text), (2, "other " + text)], [(7, item), (8, "same " * 14)])
 
@@ -186,6 +186,7 @@ def test_near_duplicates(spark, rule):
 def test_near_duplicates_in_small_blocks(spark, monkeypatch, limit):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     monkeypatch.setattr(neardup, "HUB", 3)
+    monkeypatch.setattr(neardup, "FEW_ROWS", 0)
     monkeypatch.setattr(neardup, "BROADCAST_ROWS", limit)
     monkeypatch.setattr(neardup, "BROADCAST_VALUES", limit)
     rows = near_rows()
@@ -197,6 +198,7 @@ def test_rows_grow_with_the_size_of_a_group(spark, monkeypatch):
     """Near copies of one text meet their pivot once each, not one another."""
     monkeypatch.setattr(neardup, "BLOCK", 16)
     monkeypatch.setattr(neardup, "HUB", 20)
+    monkeypatch.setattr(neardup, "FEW_ROWS", 100)
     counted = []
     plain = neardup.candidates
     monkeypatch.setattr(neardup, "candidates", lambda grouped, *a, **b: counted.append(grouped.count()) or plain(grouped, *a, **b))
