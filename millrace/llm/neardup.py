@@ -25,8 +25,9 @@ fewer words the whole sequence is one shingle. Documents are linked when 100 * |
 
 Sketches of more values are exact for larger sets; with ``Rule(k=EXACT)`` a sketch is the whole set, so the bound of
 step 3 holds for all sets and nothing rests on probability. Broadcasts are limited by ``BROADCAST_ROWS`` and
-``BROADCAST_VALUES``, which are counted first; beyond them the same join is shuffled. Keys of more than ``HUB`` rows (large
-groups, hubs of components) are looked up in such a broadcast, so they don't meet in one task.
+``BROADCAST_VALUES``, which are counted first; beyond them the same join is shuffled. In tables of more than ``FEW_ROWS``
+rows, keys of more than ``HUB`` rows (large groups, hubs of components) are looked up in such a broadcast, so they don't
+meet in one task. These bounds change plans, never results.
 
 A document without words or text has an empty set and is linked with nothing; without documents there is no row. Very
 long texts are taken whole. Without an id a document can be linked, but is never the smallest; where a whole group has
@@ -53,8 +54,8 @@ BITS = 2048
 FEW = 16
 #: row numbers that are broadcast at most (16 bytes each), and hashes of sets (8 bytes each)
 BROADCAST_ROWS, BROADCAST_VALUES = 2_000_000, 4_000_000
-#: rows of a key from which it is hot
-HUB = 500
+#: rows of a key from which it is hot, and of a table up to which any task can take them all
+HUB, FEW_ROWS = 500, 20_000
 #: a sketch size that no set exceeds
 EXACT = 1 << 31
 _M, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -179,11 +180,13 @@ def inverted_lists(reps: DataFrame, rule: Rule) -> DataFrame:
     return rows.join(long, "v")
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, n: str) -> DataFrame:
-    """Inner join with ``right``, whose column ``n`` tells how many rows of ``left`` its key has (it is dropped).
+def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, rows: int) -> DataFrame:
+    """Inner join with ``right``, whose column ``n`` tells how many of the ``rows`` rows of ``left`` its key has (it is dropped).
 
     Hot keys are broadcast if they are few enough; adaptive execution has to split them otherwise.
     """
+    if rows <= FEW_ROWS:
+        return left.join(right.drop(n), key)
     hot = saved(right.where(F.col(n) > HUB).drop(n), "hot")
     found = hot.limit(BROADCAST_ROWS + 1).count()
     if not 0 < found <= BROADCAST_ROWS:
@@ -409,9 +412,11 @@ def verified(edges: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, linked): exact similarity of the full sets."""
     left = sets.select(F.col("row").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("row").alias("b"), F.col("hashes").alias("y"))
-    degree = edges.groupBy("a").agg(F.count("*").alias("c"))
-    hubs = saved(left.join(_small(saved(degree.where(F.col("c") > HUB).select("a"), "hubs")), "a", "left_semi"), "hub_sets")
-    values = hubs.agg(F.coalesce(F.sum(F.size("x")), F.lit(0))).first()[0]
+    values = 0
+    if edges.count() > FEW_ROWS:
+        degree = edges.groupBy("a").agg(F.count("*").alias("c"))
+        hubs = saved(left.join(_small(saved(degree.where(F.col("c") > HUB).select("a"), "hubs")), "a", "left_semi"), "hub_sets")
+        values = hubs.agg(F.coalesce(F.sum(F.size("x")), F.lit(0))).first()[0]
     if 0 < values <= BROADCAST_VALUES:
         first = edges.join(right, "b").join(F.broadcast(hubs), "a")
         with_x = edges.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(left, "a").join(right, "b").unionByName(first)
@@ -457,10 +462,10 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("r"), F.count("*").alias("c"))
-        large = hot_join(both, low, "a", "c").where("b > a").select(F.col("b").alias("a"), F.col("r").alias("b")).distinct()
+        large = hot_join(both, low, "a", "c", 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("r").alias("b")).distinct()
         large = saved(large, "large")
         low = large.groupBy("a").agg(F.min("b").alias("r"), F.count("*").alias("c"))
-        small = hot_join(large, low, "a", "c").where("b <> r").select(F.col("b").alias("a"), F.col("r").alias("b"))
+        small = hot_join(large, low, "a", "c", 2 * before[0]).where("b <> r").select(F.col("b").alias("a"), F.col("r").alias("b"))
         step = saved(small.unionByName(low.select("a", F.col("r").alias("b"))).distinct(), "small")
         after = state(step)
         discard(large, e)
@@ -523,8 +528,9 @@ def _groups(documents: DataFrame, rule: Rule) -> DataFrame:
 
     named = classes.join(roots.withColumnRenamed("node", "row"), "row", "left").select("digest", "least_id", "copies", F.coalesce("root", "row").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("c"))
-    named = hot_join(named, least, "root", "c").select("digest", "component_id", F.col("root").alias("group"), "copies")
-    found = hot_join(all_.where("n > 0"), named, "digest", "copies")
+    rows = all_.count()
+    named = hot_join(named, least, "root", "c", rows).select("digest", "component_id", F.col("root").alias("group"), "copies")
+    found = hot_join(all_.where("n > 0"), named, "digest", "copies", rows)
     none = all_.where("n = 0").withColumns({"component_id": F.lit(None).cast("long"), "group": F.lit(None).cast("long")})
     out = found.unionByName(none).withColumnRenamed("n", "n_shingles")
     return out.select(
