@@ -96,8 +96,8 @@ class Grouped:
     def _folded(self, fn: Callable[[Iterable], object]) -> Table:
         schema = self.df.schema
         arrow, named = to_arrow_schema(schema), by_name(schema)
-        partial = self.df.mapInArrow(lambda batches: batches_of(folded_in_task(fn, pairs_in(batches), named), arrow), schema)
-        return self._table(streamed(partial, lambda k, values: [(k, fn(list(values)))], schema))
+        partial = lambda batches: batches_of(folded_in_task(fn, pairs_in(batches), named), arrow)
+        return self._table(streamed(self.df, lambda k, values: [(k, fn(list(values)))], schema, partial, schema))
 
     def reduce(self, fn: Callable[[object, Iterable], Iterable[tuple]], schema: T.StructType) -> Table:
         """Python tier: all pairs that ``fn(key, values)`` yields; ``values`` is an iterator, so groups may be of any size."""

@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.combiners import Combiner
 from .collection import KEY, VALUE, Table
-from .python_tier import batches_of, by_name, folded_in_task, pairs_in, streamed
+from .python_tier import batches_of, by_name, emitting, folded_in_task, pairs_in, streamed
 
 
 @dataclass(frozen=True)
@@ -56,12 +56,12 @@ class MapReduce:
                     pairs = (out for pair in pairs for out in mapper(*pair))
                 return batches_of(folded_in_task(fold, pairs, named), arrow)
 
-            table = Table(table.df.mapInArrow(partial, schema), None, (table,), True)
             last = reducer or (lambda k, values: [(k, *values)])
-            return Table(streamed(table.df, lambda k, values: last(k, iter([fold(list(values))])), self.reduce_schema if reducer else schema), None, (table,), True)
-        if mapper is not None:
-            table = table.parallel_do_pairs(mapper, schema)
-        return table if reducer is None else table.group_by_key().reduce(reducer, self.reduce_schema)
+            return Table(streamed(table.df, lambda k, values: last(k, iter([fold(list(values))])), self.reduce_schema if reducer else schema, partial, schema), None, (table,), True)
+        if reducer is None:
+            return table if mapper is None else table.parallel_do_pairs(mapper, schema)
+        before = None if mapper is None else emitting((KEY, VALUE), mapper, schema, True)
+        return Table(streamed(table.df, reducer, self.reduce_schema, before, schema), None, (table,), True)
 
 
 __all__ = ["KEY", "VALUE", "MapReduce"]

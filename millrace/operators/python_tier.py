@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -13,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 PIECE = 10_000
 #: keys that a task of a fold holds before it hands its partial results on
 HELD_KEYS = 100_000
+#: values of a key that go to its group as one row at most, and their bytes, about
+PACKED, PACKED_BYTES = 256, 4096
 
 
 def batches_of(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -33,7 +36,7 @@ def batches_of(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBa
 
 def same_key(a, b) -> bool:
     """Whether two keys are one group: nulls, NaN and both zeros are equal to themselves."""
-    return a == b or (a != a and b != b)
+    return a == b or hashable(a) == hashable(b)
 
 
 def hashable(key):
@@ -49,8 +52,46 @@ def pairs_in(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(batch["key"].to_pylist(), batch["value"].to_pylist())
 
 
-def emitted(df: DataFrame, columns: tuple[str, ...], fn: Callable[..., Iterable], schema: T.StructType, pairs: bool) -> DataFrame:
-    """All that ``fn`` yields for the elements of ``df``: pairs, or single values."""
+def codes(keys: pa.Array) -> pa.Array:
+    """A number for each key; only keys of one group have the same."""
+    if not pa.types.is_nested(keys.type):
+        return keys.dictionary_encode(null_encoding="encode").indices
+    seen: dict = {}
+    return pa.array([seen.setdefault(hashable(k), len(seen)) for k in keys.to_pylist()], type=pa.int32())
+
+
+def packed(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The pairs of each batch as rows of a key and a list of values of it."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        most = max(1, min(PACKED, PACKED_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        of = codes(batch["key"])
+        order = pc.sort_indices(of)
+        starts: list[int] = []
+        at = 0
+        for end in pc.run_end_encode(of.take(order)).run_ends.to_pylist():
+            starts.extend(range(at, end, most))
+            at = end
+        keys, values = (batch[c].take(order) for c in ("key", "value"))
+        kept, listed = schema.field("key").type, schema.field("value").type
+        lists = pa.ListArray.from_arrays(pa.array([*starts, at], type=pa.int32()), values.cast(listed.value_type), type=listed)
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(starts, type=pa.int32())).cast(kept), lists], schema=schema)
+
+
+def lists_in(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """(key, list of values) of packed pairs; some thousand values are Python objects at once."""
+    step = PIECE // PACKED
+    for batch in batches:
+        for part in (batch.slice(k, step) for k in range(0, batch.num_rows, step)):
+            values, at = part["value"].flatten().to_pylist(), 0
+            for key, n in zip(part["key"].to_pylist(), part["value"].value_lengths().to_pylist()):
+                yield key, values[at : at + n]
+                at += n
+
+
+def emitting(columns: tuple[str, ...], fn: Callable[..., Iterable], schema: T.StructType, pairs: bool) -> Callable:
+    """A function from the batches of a task to batches of all that ``fn`` yields."""
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -61,7 +102,12 @@ def emitted(df: DataFrame, columns: tuple[str, ...], fn: Callable[..., Iterable]
 
         return batches_of(rows(), arrow)
 
-    return df.mapInArrow(run, schema)
+    return run
+
+
+def emitted(df: DataFrame, columns: tuple[str, ...], fn: Callable[..., Iterable], schema: T.StructType, pairs: bool) -> DataFrame:
+    """All that ``fn`` yields for the elements of ``df``: pairs, or single values."""
+    return df.mapInArrow(emitting(columns, fn, schema, pairs), schema)
 
 
 def folded_in_task(fn: Callable[[Iterable], object], pairs: Iterable[tuple], by_name: bool) -> Iterator[tuple]:
@@ -91,16 +137,25 @@ def by_name(schema: T.StructType) -> bool:
     return isinstance(schema["key"].dataType, (T.StructType, T.ArrayType, T.MapType, T.FloatType, T.DoubleType))
 
 
-def streamed(df: DataFrame, fn: Callable[[object, Iterator], Iterable[tuple]], schema: T.StructType) -> DataFrame:
-    """All pairs that ``fn(key, values)`` yields for each group of (key, value).
+def streamed(df: DataFrame, fn: Callable[[object, Iterator], Iterable[tuple]], schema: T.StructType, before: Callable | None = None, kind: T.StructType | None = None) -> DataFrame:
+    """All that ``fn(key, values)`` yields for each group of (key, value).
 
     Groups are sorted together and read one after the other: ``values`` is an iterator over the group, so a group of any
-    size passes through a task in bounded memory. What ``fn`` leaves unread is skipped.
+    size passes through a task in bounded memory. What ``fn`` leaves unread is skipped. Values of a key that lie in one batch
+    are shuffled and sorted as lists, so that a frequent key costs the sort little more than its values.
+
+    ``before`` maps the batches of a task to batches of pairs of type ``kind``, in the pass that makes the lists.
     """
     arrow = to_arrow_schema(schema)
+    kind = df.schema if before is None else kind
+    listed = T.StructType([T.StructField("key", kind["key"].dataType), T.StructField("value", T.ArrayType(kind["value"].dataType))])
+    lists = to_arrow_schema(listed)
+
+    def pack(batches):
+        return packed(batches if before is None else before(batches), lists)
 
     def run(batches):
-        pairs = pairs_in(batches)
+        pairs = lists_in(batches)
         ahead: list[tuple] = []
 
         def values(key):
@@ -110,7 +165,7 @@ def streamed(df: DataFrame, fn: Callable[[object, Iterator], Iterable[tuple]], s
                 if not same_key(pair[0], key):
                     ahead.append(pair)
                     return
-                yield pair[1]
+                yield from pair[1]
 
         def rows():
             while ahead or (pair := next(pairs, None)) is not None:
@@ -124,4 +179,4 @@ def streamed(df: DataFrame, fn: Callable[[object, Iterator], Iterable[tuple]], s
 
         return batches_of(rows(), arrow)
 
-    return df.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+    return df.mapInArrow(pack, listed).repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)

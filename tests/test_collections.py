@@ -203,6 +203,34 @@ def test_reducers_stream_their_groups(p, spark):
     assert many.df.count() == 300_000
 
 
+def test_frequent_keys_travel_as_lists(p, spark):
+    """Rows that a reducer's tasks sort: lists of values, cut by number and bytes, for keys and values of any type."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from millrace.operators.python_tier import PACKED, PACKED_BYTES, lists_in, packed
+
+    listed = to_arrow_schema(kinds.table_of(kinds.longs(), kinds.lists_of(kinds.strings())))
+    batch = pa.RecordBatch.from_pydict({"key": [None, 7] * 2000, "value": ["x"] * 4000})
+    (out,) = packed([batch], listed)
+    assert out.num_rows == 2 * -(-2000 // PACKED)
+    assert Counter((k, v) for k, vs in lists_in([out]) for v in vs) == {(None, "x"): 2000, (7, "x"): 2000}
+    long = pa.RecordBatch.from_pydict({"key": [7] * 9, "value": ["x" * PACKED_BYTES] * 9})
+    assert next(packed([long], listed)).num_rows == 9
+    assert list(packed([batch.slice(0, 0)], listed)) == []
+
+    hot = p.table(spark.range(60_000).selectExpr("named_struct('a', if(id % 3 = 0, double('nan'), null), 'b', array(id % 2)) as k", "map(id, null) as v"))
+    counted = kinds.table_of(hot.schema["key"].dataType, kinds.longs())
+    got = hot.group_by_key().reduce(lambda k, vs: [(k, sum(next(iter(dict(v).items()))[0] for v in vs))], counted)
+    want = Counter()
+    for i in range(60_000):
+        want[i % 3 == 0, i % 2] += i
+    assert sorted(v for _, v in got.collect()) == sorted(want.values())
+    times = p.table(spark.range(10).selectExpr("timestamp_seconds(id % 2) as k", "if(id = 3, null, timestamp_seconds(id)) as v"))
+    last = times.group_by_key().reduce(lambda k, vs: [(k, max(v for v in vs if v))], times.schema)
+    assert sorted(r[1] for r in last.df.selectExpr("key", "unix_seconds(value)").collect()) == [8, 9]
+
+
 def test_folds_are_batched(p, spark):
     """One call folds many values of a key."""
     calls = spark.sparkContext.accumulator(0)
