@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.combiners import REGISTRY, Combiner
 from .collection import KEY, VALUE, Table
-from .python_tier import batches_of, by_name, folded_in_task, pairs_in, streamed
+from .python_tier import batches_of, by_name, folded_in_task, framed, pairs_in, streamed
 
 
 def _ordering(order: Iterable[Column | str]) -> list[Column]:
@@ -105,4 +105,4 @@ class Grouped:
 
     def apply(self, fn: Callable, schema: T.StructType) -> Table:
         """Python tier: ``fn(pandas frame of one key)`` returns a frame of keys and values. A group must fit memory."""
-        return self._table(self.df.groupBy(KEY).applyInPandas(fn, schema))
+        return self._table(framed(self.df, fn, schema))

@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -16,6 +17,8 @@ PIECE = 10_000
 HELD_KEYS = 100_000
 #: values of a key that go to its group as one row at most, and their bytes, about
 PACKED, PACKED_BYTES = 256, 4096
+#: frames of groups that leave a task in one piece
+FRAMES = 1000
 
 
 def batches_of(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -180,3 +183,81 @@ def streamed(df: DataFrame, fn: Callable[[object, Iterator], Iterable[tuple]], s
         return batches_of(rows(), arrow)
 
     return df.mapInArrow(pack, listed).repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def framed(df: DataFrame, fn: Callable, schema: T.StructType) -> DataFrame:
+    """The rows of all frames that ``fn(pandas frame of one key)`` returns.
+
+    Groups are sorted together. Whole batches become frames, which are cut at the keys, and results leave many at a time.
+    A group's frame is as if converted alone: integers and booleans, whose type in pandas depends on nulls, travel without
+    them and beside a flag. A hash beside the key tells apart what is equal in pandas only (null and NaN, an hour twice).
+    Nested keys and values, whose parts depend on nulls of their neighbours as well, are left to Spark, group by group.
+    """
+    if any(isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType)) for f in df.schema.fields):
+        return df.groupBy("key").applyInPandas(fn, schema)
+    names = schema.fieldNames()
+    filled = {f.name: isinstance(f.dataType, T.BooleanType) for f in df.schema.fields if isinstance(f.dataType, (T.IntegralType, T.BooleanType))}
+
+    def sent(c: str) -> Column:
+        return F.coalesce(c, F.lit(0).cast(df.schema[c].dataType)).alias(c) if c in filled else F.col(c)
+
+    def pieces(frames):
+        """The frames of each group, one of each batch, with the flags of those that have nulls."""
+        last, held = None, []
+        for frame in frames:
+            keys = list(zip(frame["_hash"].tolist(), map(hashable, frame["key"].tolist())))
+            nulls = {c: frame[f"_no_{c}"].to_numpy() for c in filled if frame[f"_no_{c}"].any()}
+            frame = frame[["key", "value"]]
+            cuts = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
+            for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+                if held and keys[a] != last:
+                    yield held
+                    held = []
+                last = keys[a]
+                held.append((frame.iloc[a:b], {c: x[a:b] for c, x in nulls.items()}))
+        if held:
+            yield held
+
+    def group(held):
+        import pandas as pd
+
+        out = pd.concat([x for x, _ in held], ignore_index=True) if len(held) > 1 else held[0][0].reset_index(drop=True)
+        for c, boolean in filled.items():
+            if any(c in nulls and nulls[c].any() for _, nulls in held):
+                column = out[c].astype(object if boolean else "float64")
+                column[[no for x, nulls in held for no in (nulls[c].tolist() if c in nulls else [False] * len(x))]] = None
+                out[c] = column
+        return out
+
+    def named(out):
+        import pandas as pd
+
+        if not isinstance(out, pd.DataFrame):
+            raise TypeError(f"a function of groups returned a {type(out).__name__}, not a pandas frame")
+        columns = list(out.columns)
+        if columns == names or (out.empty and not columns):
+            return out
+        strings = any(isinstance(c, str) for c in columns)
+        if len(columns) != len(names) or (strings and set(columns) != set(names)):
+            raise ValueError(f"a function of groups returned the columns {columns}, not {names}")
+        return out[names] if strings else out.set_axis(names, axis=1)
+
+    def run(frames):
+        import pandas as pd
+
+        held: dict[tuple, list] = {}
+        n = rows = 0
+        for part in pieces(x for x in frames if len(x)):
+            out = named(fn(group(part)))
+            if out.empty:
+                continue
+            held.setdefault(tuple(out.dtypes), []).append(out)
+            n, rows = n + 1, rows + len(out)
+            if n >= FRAMES or rows >= PIECE:
+                yield from (pd.concat(x, ignore_index=True) for x in held.values())
+                held, n, rows = {}, 0, 0
+        yield from (pd.concat(x, ignore_index=True) for x in held.values())
+
+    flags = [F.isnull(c).alias(f"_no_{c}") for c in filled]
+    together = df.repartition("key").sortWithinPartitions("key")
+    return together.select(sent("key"), sent("value"), F.xxhash64("key").alias("_hash"), *flags).mapInPandas(run, schema)

@@ -255,6 +255,72 @@ def test_apply(p):
     assert dict(t.group_by_key().combine(combiners.joined_text("-")).collect()) == {1: "2-5", 2: "7"}
 
 
+#: key, value: nulls, NaN and zeros as keys, values whose frames differ by group, an hour that comes twice
+FRAMED = [
+    ("if(id % 3 = 0, null, id % 7)", "if(id % 7 = 2, null, id + (1L << 60) + 1)"),
+    ("if(id % 2 = 0, null, double('nan'))", "if(id % 2 = 0, null, id % 3 = 0)"),
+    ("if(id % 2 = 0, 0d, -0d)", "cast(id as tinyint)"),
+    ("if(id % 5 = 0, null, id % 2 = 0)", "if(id % 5 = 0, null, float(id))"),
+    ("named_struct('a', if(id % 2 = 0, null, double('nan')), 'b', array(id % 2))", "array(id, if(id % 3 = 1, null, id))"),
+    ("timestamp_seconds(1604208600 + 3600 * (id % 2))", "if(id % 2 = 0, null, timestamp_seconds(id))"),
+    ("concat('k', id % 3)", "named_struct('x', id, 'y', if(id % 3 = 1, null, id))"),
+    ("date_add(date'2020-01-01', cast(id % 3 as int))", "cast(id as decimal(20, 2))"),
+    ("cast(concat(id % 3) as binary)", "if(id % 3 = 0, null, cast(id as string))"),
+    ("1", "id"),
+]
+
+
+@pytest.mark.parametrize("key, value", FRAMED)
+def test_frames_of_groups(p, spark, key, value):
+    """Frames are those that Spark makes of each group alone, also where groups share batches or span several."""
+    import pandas as pd
+
+    def shown(f):
+        first = f["key"].iloc[:1]
+        said = f"{list(f.columns)} {list(f.index)[:2]} {list(f.dtypes)} {first.tolist()!r} {sorted(map(repr, f['value'].tolist()))} {type(f['value'].iloc[0])}"
+        return pd.DataFrame({"key": [said.replace("-0.0", "0.0")], "value": [len(f)]})
+
+    schema = kinds.table_of(kinds.strings(), kinds.longs())
+    df = spark.range(0, 100, 1, 3).selectExpr(f"{key} as key", f"{value} as value")
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.session.timeZone": "America/New_York"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        want = Counter(map(tuple, df.groupBy("key").applyInPandas(shown, schema).collect()))
+        assert Counter(p.table(df).group_by_key().apply(shown, schema).collect()) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_apply_over_many_groups(p, spark):
+    """What a group returns: by name, by position, nothing, exact integers beside nulls; one frame of Spark for many groups."""
+    import pandas as pd
+
+    longs = kinds.table_of(kinds.longs(), kinds.longs())
+    t = p.table(spark.range(40_000).selectExpr("id div 4 as key", "id as value"))
+
+    def some(f):
+        k = int(f["key"].iloc[0])
+        if k % 5 == 0:
+            return pd.DataFrame() if k % 2 else f.iloc[:0]
+        if k % 5 == 1:
+            return pd.DataFrame([[k, 2**60 + k]])
+        if k % 5 == 2:
+            return pd.DataFrame({"value": [float("nan")], "key": [k]})
+        return f[["value", "key"]].tail(2)
+
+    got = Counter(t.group_by_key().apply(some, longs).collect())
+    want = Counter((k, 2**60 + k) for k in range(1, 10_000, 5)) + Counter((k, None) for k in range(2, 10_000, 5))
+    assert got == want + Counter((k, v) for k in range(10_000) if k % 5 > 2 for v in (4 * k + 2, 4 * k + 3))
+    for bad in (lambda f: f.rename(columns={"value": "other"}), lambda f: f[["key"]], lambda f: 1):
+        with pytest.raises(Exception, match="a function of groups returned"):
+            t.group_by_key().apply(bad, longs).collect()
+    assert t.filter(lambda k, v: k < 0).group_by_key().apply(some, longs).collect() == []
+    assert "FlatMapGroupsInPandas" not in plan_text(t.group_by_key().apply(some, longs).df)
+
+
 def test_hot_key(p, spark):
     t = p.table(spark.range(100_000).selectExpr("if(id % 10 = 0, id, -1L) as k", "1L as v"))
     assert dict(t.group_by_key().combine(sum).collect())[-1] == 90_000
