@@ -3,6 +3,7 @@
 import dataclasses
 import math
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import Row
@@ -241,6 +242,91 @@ def test_avro_reader_schemas(spark, at, tmp_path):
         p.read_avro_file(at("mixed"), {"type": "record", "name": "R", "fields": [{"name": "new", "type": "string"}]}).collect()
 
 
+def _columns(n):
+    """Arrow columns with the Avro types that they are written as."""
+    import pyarrow as pa
+
+    longs = [0, -1, 63, 64, -64, -65, 2**31, -(2**62), 2**63 - 1, -(2**63)] * n
+    dec = [Decimal(x).scaleb(-2) for x in (0, 127, -128, 128, -129, 255, 2**31, -(2**55), 10**17, -(10**18) + 1)] * n
+    wide = [Decimal(x) for x in (10**30, -(10**30), -(2**63), 2**63, 2**63 - 1, 0, 1, -1, 255, 256)] * n
+    texts = ["", "a", "é" * 70, "x" * 300, "\0", "𝄞", "b", "cc", " ", "y" * 64] * n
+    number = lambda p, s: {"type": "bytes", "logicalType": "decimal", "precision": p, "scale": s}
+    logical = lambda base, name: {"type": base, "logicalType": name}
+    return {
+        "l": (pa.array(longs), "long"),
+        "i": (pa.array([x % 2**31 - 2**30 for x in longs], pa.int32()), "int"),
+        "y": (pa.array([x % 256 - 128 for x in longs], pa.int8()), "int"),
+        "b": (pa.array([x % 3 == 0 for x in longs]), "boolean"),
+        "f": (pa.array([float(x) for x in longs], pa.float32()), "float"),
+        "d": (pa.array([-0.0, float("inf"), 1.5, -2.25, 1e300, 0.1, 3.0, -1.0, 7.0, 9.5] * n), "double"),
+        "s": (pa.array(texts), "string"),
+        "r": (pa.array([t.encode() for t in texts]), "bytes"),
+        "day": (pa.array([x % 40_000 - 20_000 for x in longs], pa.int32()).cast(pa.date32()), logical("int", "date")),
+        "at": (pa.array([x % 2**50 - 2**49 for x in longs], pa.timestamp("us", "UTC")), logical("long", "timestamp-micros")),
+        "local": (pa.array([x % 2**50 - 2**49 for x in longs], pa.timestamp("us")), logical("long", "local-timestamp-micros")),
+        "millis": (pa.array([(x % 2**40 - 2**39) * 1000 for x in longs], pa.timestamp("us", "UTC")), logical("long", "timestamp-millis")),
+        "price": (pa.array(dec, pa.decimal128(18, 2)), number(18, 2)),
+        "wide": (pa.array(wide, pa.decimal128(38, 0)), number(38, 0)),
+        "fixed": (pa.array(wide, pa.decimal128(38, 0)), {"type": "fixed", "name": "F", "size": 16, "logicalType": "decimal", "precision": 38}),
+        "list": (pa.array([[x, None] for x in longs]), {"type": "array", "items": ["null", "long"]}),
+    }
+
+
+@pytest.mark.parametrize("how", ["plain", "first", "last"])
+def test_avro_columns(how, monkeypatch):
+    """Encoding by column gives the bytes of encoding by value, for any slice; decoding by column gives the columns back."""
+    import pyarrow as pa
+
+    columns = _columns(7)
+    union = {"plain": lambda t: t, "first": lambda t: ["null", t], "last": lambda t: [t, "null"]}[how]
+    arrays = {k: a if how == "plain" else pa.array([None if i % 3 == 1 or i > 40 else x for i, x in enumerate(a.to_pylist())], a.type) for k, (a, _) in columns.items()}
+    schema = avro.linked({"type": "record", "name": "R", "fields": [{"name": k, "type": union(t)} for k, (_, t) in columns.items()]})
+    batch = pa.RecordBatch.from_pydict(arrays)
+    decode = avro.decoding(schema, schema, batch.schema)
+    for at, n in ((0, 70), (1, 5), (13, 40), (41, 29), (3, 0)):
+        part = batch.slice(at, n)
+        want = bytearray()
+        for row in part.to_pylist():
+            avro.encode(schema, row, want)
+        raw = avro.encoded(schema, part, False)
+        assert raw == bytes(want)
+        assert decode(n, raw).to_pylist() == part.to_pylist()
+        for name, (_, t) in columns.items():
+            kind = avro.linked(union(t))
+            alone = avro.encoded(kind, part.select([name]), True)
+            assert avro.decoding(kind, kind, part.select([name]).schema)(n, alone).to_pylist() == part.select([name]).to_pylist()
+    with pytest.raises((EOFError, IndexError)):
+        decode(70, avro.encoded(schema, batch, False)[:-1])
+
+    def by_value(*args):
+        raise AssertionError("a value is handled alone")
+
+    usual = batch.select(["l", "i", "s", "r", "d", "day", "at", "millis", "price"])
+    fields = avro.linked({"type": "record", "name": "R", "fields": [f for f in schema["fields"] if f["name"] in usual.schema.names]})
+    back = avro.decoding(fields, fields, usual.schema)
+    monkeypatch.setattr(avro, "encode", by_value)
+    monkeypatch.setattr(avro.Decoder, "value", by_value)
+    assert back(70, avro.encoded(fields, usual, False)).equals(usual)
+
+
+def test_avro_decimals_are_checked():
+    """Digits beyond the precision are an error, whatever their number; a null in a type without null is one as well."""
+    import pyarrow as pa
+
+    number = lambda p: {"type": "bytes", "logicalType": "decimal", "precision": p, "scale": 1}
+    for n, p in ((12345, 5), (-12345, 5), (10**20, 21)):
+        raw = avro.encoded(number(p), pa.RecordBatch.from_pydict({"v": pa.array([Decimal(n).scaleb(-1)], pa.decimal128(p, 1))}), True)
+        for q in (p - 1, p):
+            read = avro.decoding(number(p), number(q), pa.schema([("v", pa.decimal128(q, 1))]))
+            if q == p:
+                assert read(1, raw).to_pylist() == [{"v": Decimal(n).scaleb(-1)}]
+            elif len(str(abs(n))) > q:
+                with pytest.raises(pa.ArrowInvalid):
+                    read(1, raw)
+    with pytest.raises(TypeError):
+        avro.encoded("long", pa.RecordBatch.from_pydict({"v": pa.array([1, None])}), True)
+
+
 def test_avro_overwrite_replaces(spark, at):
     p = Pipeline(spark)
     sinks.avro(p.from_rows([1, 2], kinds.longs()), at("numbers"))
