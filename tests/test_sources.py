@@ -327,6 +327,22 @@ def test_avro_decimals_are_checked():
         avro.encoded("long", pa.RecordBatch.from_pydict({"v": pa.array([1, None])}), True)
 
 
+@pytest.mark.parametrize("kind, written, arrow", [("long", 2**64, "int64"), ("long", 2**80, "int64"), ("int", 2**31, "int32"), ("millis", 2**60, "int64"), ("millis", -(2**62), "int64")])
+def test_avro_numbers_are_checked(kind, written, arrow):
+    """A number that its column cannot hold is an error."""
+    import pyarrow as pa
+
+    schema = {"type": "long", "logicalType": "timestamp-millis"} if kind == "millis" else kind
+    n, raw = (written << 1) ^ -(written < 0), bytearray()
+    while n > 0x7F:
+        raw.append(n & 0x7F | 0x80)
+        n >>= 7
+    raw.append(n)
+    with pytest.raises((OverflowError, pa.ArrowInvalid)):
+        avro.decoding(schema, schema, pa.schema([("v", arrow)]))(2, bytes(raw) + b"\2")
+    assert avro.decoding(schema, schema, pa.schema([("v", arrow)]))(2, b"\1\2").to_pydict() == {"v": [-1000, 1000] if kind == "millis" else [-1, 1]}
+
+
 def test_avro_overwrite_replaces(spark, at):
     p = Pipeline(spark)
     sinks.avro(p.from_rows([1, 2], kinds.longs()), at("numbers"))
