@@ -191,9 +191,10 @@ def framed(df: DataFrame, fn: Callable, schema: T.StructType) -> DataFrame:
     Groups are sorted together. Whole batches become frames, which are cut at the keys, and results leave many at a time.
     A group's frame is as if converted alone: integers and booleans, whose type in pandas depends on nulls, travel without
     them and beside a flag. A hash beside the key tells apart what is equal in pandas only (null and NaN, an hour twice).
-    Nested keys and values, whose parts depend on nulls of their neighbours as well, are left to Spark, group by group.
+    Nested keys and values, whose parts depend on nulls of their neighbours as well, are left to Spark, group by group,
+    and so are streams, which cannot be sorted.
     """
-    if any(isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType)) for f in df.schema.fields):
+    if df.isStreaming or any(isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType)) for f in df.schema.fields):
         return df.groupBy("key").applyInPandas(fn, schema)
     names = schema.fieldNames()
     filled = {f.name: isinstance(f.dataType, T.BooleanType) for f in df.schema.fields if isinstance(f.dataType, (T.IntegralType, T.BooleanType))}

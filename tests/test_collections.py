@@ -321,6 +321,17 @@ def test_apply_over_many_groups(p, spark):
     assert "FlatMapGroupsInPandas" not in plan_text(t.group_by_key().apply(some, longs).df)
 
 
+def test_apply_over_a_stream(p, spark, tmp_path):
+    import pandas as pd
+
+    spark.range(10).selectExpr("id % 3 as key", "id as value").write.parquet(f"{tmp_path}/in")
+    longs = kinds.table_of(kinds.longs(), kinds.longs())
+    t = p.table(spark.readStream.schema(longs).parquet(f"{tmp_path}/in"))
+    total = t.group_by_key().apply(lambda f: pd.DataFrame({"key": f["key"].head(1), "value": f["value"].sum()}), longs)
+    total.df.writeStream.format("memory").queryName("applied").outputMode("append").trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(map(tuple, spark.table("applied").collect())) == [(0, 18), (1, 12), (2, 15)]
+
+
 def test_hot_key(p, spark):
     t = p.table(spark.range(100_000).selectExpr("if(id % 10 = 0, id, -1L) as k", "1L as v"))
     assert dict(t.group_by_key().combine(sum).collect())[-1] == 90_000
